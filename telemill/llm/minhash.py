@@ -3,7 +3,7 @@
 Every distinct set of word shingles gets COORDINATES minwise tokens. A tree is a set of paths: at a node, a document
 goes down by each coordinate that a hash of (path, coordinate) selects - 1/threshold of them on average - and its
 child is named by the path, the coordinate and the document's minwise token there. Small nodes are compared
-exhaustively, large ones are compared with their smallest document and branch again; documents that links have
+exhaustively, large ones are compared with one of their documents and branch again; documents that links have
 already joined are not compared any more, so a group of many near copies costs one comparison a document and not one a
 pair. Nodes that are still large and mixed at the last level are compared exhaustively in blocks. TREES independent
 trees take the recall of one pair at the threshold to 1 - (1 - threshold)**(TREES / threshold).
@@ -27,8 +27,10 @@ COORDINATES = 64
 TREES = 12
 #: Documents of a node up to which all its pairs are compared.
 SMALL = 16
-#: Levels of a tree after which what is left is compared in blocks.
-LEVELS = 6
+#: Levels of a tree after which the large nodes that are left, near copies for the most part, are compared in blocks.
+LEVELS = 3
+#: Documents and shingles in a block of those nodes; a task compares two blocks.
+BLOCK = (1024, 500_000)
 #: Minwise tokens that must agree before the full sets are compared; at 0.75 a pair misses it by over 4 deviations.
 ESTIMATE = 0.55
 
@@ -92,7 +94,7 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """Documents of nodes that have company: (path, rep, n, pivot)."""
-    node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
+    node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot")).filter("n > 1")
     return rows.join(node, "path")
 
 
@@ -138,6 +140,43 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     return store(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
+def _exhaust(percent: int):
+    def exhaust(rows: pa.Table) -> pa.Table:
+        """Links that join all documents of a node which are connected within it, from exact intersections of every pair."""
+        ids, raw = rows.column("rep").to_numpy(), rows.column("tokens").to_pylist()
+        component = rows.column("component").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in raw]
+        size = np.array([len(x) for x in sets])
+        found: list[tuple[int, int]] = []
+        if len(ids) > 1 and component.min() < component.max():
+            _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(ids)), size)
+            shared = np.flatnonzero(times[token] > 1)
+            column = (np.cumsum(times > 1) - 1)[token[shared]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[shared][order], column[order]
+            both = np.zeros((len(ids), len(ids)), np.float32)
+            for a in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+                lo, hi = np.searchsorted(column, [a, a + 2048])
+                part = np.zeros((len(ids), 2048), np.float32)
+                part[row[lo:hi], column[lo:hi] - a] = 1
+                both += part @ part.T
+            link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+            reached = np.zeros(len(ids), bool)
+            for k in range(len(ids)):
+                edge = [] if reached[k] else [k]
+                reached[k] = True
+                while edge:
+                    x = edge.pop()
+                    new = np.flatnonzero(link[x] & ~reached)
+                    reached[new] = True
+                    found += [(int(ids[x]), int(ids[y])) for y in new]
+                    edge += new.tolist()
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return exhaust
+
+
 def _apart(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     """members with the component that each document has so far."""
     if groups is None:
@@ -149,7 +188,7 @@ def _all_pairs(groups: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of documents of different components within groups of bounded size."""
     held = groups.groupBy(*keys).agg(F.collect_list(F.struct("rep", "component", "pivot")).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     one = held.filter("low < high").select("held", F.explode("held").alias("x")).select("x", F.explode("held").alias("y"))
-    return one.filter("x.rep < y.rep AND x.component <> y.component AND x.rep <> x.pivot").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    return one.filter("x.rep < y.rep AND x.component <> y.component AND x.rep <> x.pivot AND y.rep <> x.pivot").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) -> DataFrame | None:
@@ -159,7 +198,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
     for level in range(LEVELS):
         members = store(_nodes(_children(rows, threshold)), "nodes")
-        star = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        star = members.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
         found = _verified(star, reps, docs, percent)
@@ -174,17 +213,24 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
             placed = _apart(members, groups)
         large = placed.filter(F.col("n") > SMALL)
         mixed = large.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
-        large = store(large.join(mixed, "path", "left_semi"), "large")
+        large = large.join(mixed, "path", "left_semi").join(reps.select("rep", F.col("n_shingles").alias("size")), "rep")
+        large = store(large, "large")
         if large.isEmpty():
             return groups
-        tested = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+        tested = members.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
         rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
-    # what no level has separated: blocks of SMALL documents, each pair of blocks together
-    width = F.ceil(F.col("n") / F.lit(SMALL)).cast("int")
-    block = large.withColumn("i", F.pmod(F.xxhash64("rep"), width).cast("int")).withColumn("w", width)
-    block = block.select("path", "rep", "component", "pivot", F.explode(F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.struct(F.least("i", k).alias("i"), F.greatest("i", k).alias("j")))).alias("at"))
-    more = _verified(_all_pairs(block.select("path", "at.i", "at.j", "rep", "component", "pivot"), ["path", "i", "j"]).distinct(), reps, docs, percent)
-    return connected_components(links.union(more))
+    # what no level has separated; of nodes with the same documents one is enough
+    node = large.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same"), F.sum("size").alias("sizes"))
+    node = node.groupBy("n", "same", "sizes").agg(F.min("path").alias("path"))
+    wide = F.greatest(F.ceil(F.col("n") / BLOCK[0]), F.ceil(F.col("sizes") / BLOCK[1])).cast("int")
+    node = node.select("path", wide.alias("wide"))
+    ids = store(large.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    sets = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count()).mapInArrow(_sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    rows = large.select("path", "rep", "component").join(node, "path").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
+    rows = rows.select("path", "rep", "component", "tokens", F.explode(pairs).alias("at")).select("path", "at.i", "at.j", "rep", "component", "tokens")
+    more = rows.groupBy("path", "i", "j").applyInArrow(_exhaust(percent), "a long, b long")
+    return connected_components(store(links.union(more), "links"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
