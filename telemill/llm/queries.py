@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Key of the pseudonyms in the registered queries; a real one comes from a secret store.
+PSEUDONYM_KEY = "demonstration"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +59,12 @@ def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_private")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
