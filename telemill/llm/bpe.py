@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from telemill.llm.shared import ship
 
-#: Pre-tokens whose ids a Python worker remembers; then it forgets all and starts again.
-MEMO = 400_000
+#: Pre-tokens whose ids a Python worker remembers (about 250 bytes each): so many recent ones, and as many older ones.
+MEMO = 600_000
 _LEAF = 8
 
 
@@ -34,27 +34,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token: the pair of lowest rank merges first, the leftmost of equals."""
     if piece in ranks:
         return [ranks[piece]]
-    n = len(piece)
+    n, get = len(piece), ranks.get
     end = list(range(1, n + 1))  # part i is piece[i:end[i]]; end[i] is also the next part
     before = list(range(-1, n))
-    rank_at: list[int | None] = [None] * n
-    buckets: dict[int, list[int]] = {}
+    rank_at = [get(piece[i : i + 2]) for i in range(n - 1)]  # of the pair that starts at a part
+    rank_at.append(None)
+    buckets: dict[int, list[int]] = {}  # heaps of positions
     leaves: dict[int, int] = {}
     root = 0
-
-    def push(i: int) -> int:
-        """Queue the pair that starts at part i; returns the bit of the root to set."""
-        j = end[i]
-        rank = ranks.get(piece[i : end[j]]) if j < n else None
-        rank_at[i] = rank
-        if rank is None:
-            return 0
-        heappush(buckets.setdefault(rank, []), i)
-        leaves[rank >> _LEAF] = leaves.get(rank >> _LEAF, 0) | 1 << (rank & 255)
-        return 1 << (rank >> _LEAF)
-
-    for i in range(n - 1):
-        root |= push(i)
+    for i, rank in enumerate(rank_at):
+        if rank is not None:
+            if rank in buckets:
+                buckets[rank].append(i)
+            else:
+                buckets[rank] = [i]
+                word = rank >> _LEAF
+                leaves[word] = leaves.get(word, 0) | 1 << (rank & 255)
+                root |= 1 << word
     while root:
         word = (root & -root).bit_length() - 1
         leaf = leaves[word]
@@ -63,8 +59,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         i = heappop(bucket)
         if not bucket:
             del buckets[rank]
-            leaves[word] = leaf & (leaf - 1)
-            if not leaves[word]:
+            leaves[word] = leaf = leaf & (leaf - 1)
+            if not leaf:
                 root &= root - 1
         if rank_at[i] != rank:
             continue  # stale
@@ -72,9 +68,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         end[i], rank_at[j] = end[j], None
         if end[i] < n:
             before[end[i]] = i
-        root |= push(i)
-        if before[i] >= 0:
-            root |= push(before[i])
+        for k in (i, before[i]):
+            if k < 0:
+                continue
+            j = end[k]
+            rank_at[k] = new = get(piece[k : end[j]]) if j < n else None
+            if new is None:
+                continue
+            if new in buckets:
+                heappush(buckets[new], k)
+            else:
+                buckets[new] = [k]
+                word = new >> _LEAF
+                leaves[word] = leaves.get(word, 0) | 1 << (new & 255)
+                root |= 1 << word
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : end[i]]])
@@ -83,16 +90,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Memo(dict):
-    """Little-endian unsigned 32-bit ids of a pre-token."""
+    """Little-endian unsigned 32-bit ids of a pre-token, of the last MEMO to 2 * MEMO different ones."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.old = ranks, {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
+        ids = self.old.get(piece) or np.array(merge(piece.encode(), self.ranks), "<u4").tobytes()
         if len(piece) < 64:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
