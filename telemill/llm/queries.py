@@ -65,9 +65,23 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", "n_private")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.lines import drop_boilerplate
+
+    return drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from telemill.llm import lines
+
+    return {"op6_lines": lines.ORACLE}

@@ -139,6 +139,22 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scores, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """All columns of the rows of docs whose score is below THRESHOLD, in one pass."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared, at = spark.sparkContext.broadcast((model.slots, model.weights, model.intercept)), docs.columns.index(text)
+    limit = math.log(THRESHOLD / (1 - THRESHOLD))
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, weights, intercept = shared.value
+        for batch in batches:
+            keep = [intercept + float(weights[_features(slots, t.as_py())].sum()) < limit for t in batch.column(at)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def held_out() -> F.Column:
     """Whether a document's label is kept out of training: crc32 of its id as text leaves 1 when divided by 3."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
