@@ -3,9 +3,10 @@
 Every distinct set of word shingles gets COORDINATES minwise tokens. A tree is a set of paths: at a node, a document
 goes down by each coordinate that a hash of (path, coordinate) selects - 1/threshold of them on average - and its
 child is named by the path, the coordinate and the document's minwise token there. Small nodes are compared
-exhaustively, large ones are compared with one of their documents and branch again; documents that links have
-already joined are not compared any more, so a group of many near copies costs one comparison a document and not one a
-pair. Nodes that are still large and mixed at the last level are compared exhaustively in blocks. TREES independent
+exhaustively, large ones with one of their documents, and branch again unless links have joined all their documents by
+then, so a group of near copies costs about one comparison a document and not one a pair. From the second level on
+nodes hold documents that are alike in several tokens; up to a size their full sets are compared exactly, larger ones
+go on branching, and the last level compares what is left in blocks. TREES independent
 trees take the recall of one pair at the threshold to 1 - (1 - threshold)**(TREES / threshold).
 """
 
@@ -27,9 +28,11 @@ COORDINATES = 64
 TREES = 12
 #: Documents of a node up to which all its pairs are compared.
 SMALL = 16
-#: Levels of a tree after which the large nodes that are left, near copies for the most part, are compared in blocks.
-LEVELS = 3
-#: Documents and shingles in a block of those nodes; a task compares two blocks.
+#: Documents of a node up to which, from the second level on, full sets are compared, all with all.
+MEDIUM = 4096
+#: Levels of a tree; at the last one nodes of any size are compared, in blocks.
+LEVELS = 6
+#: Documents and shingles in a block; a task compares two blocks.
 BLOCK = (1024, 500_000)
 #: Minwise tokens that must agree before the full sets are compared; at 0.75 a pair misses it by over 4 deviations.
 ESTIMATE = 0.55
@@ -94,7 +97,7 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
 
 def _nodes(rows: DataFrame) -> DataFrame:
     """Documents of nodes that have company: (path, rep, n, pivot)."""
-    node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot")).filter("n > 1")
+    node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).filter("n > 1")
     return rows.join(node, "path")
 
 
@@ -184,44 +187,18 @@ def _apart(members: DataFrame, groups: DataFrame | None) -> DataFrame:
     return members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
 
 
-def _all_pairs(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of documents of different components within groups of bounded size."""
+def _all_pairs(groups: DataFrame, keys: list[str], pivots: bool = False) -> DataFrame:
+    """Pairs of documents of different components within groups of bounded size, those with the pivot only if asked for."""
     held = groups.groupBy(*keys).agg(F.collect_list(F.struct("rep", "component", "pivot")).alias("held"), F.min("component").alias("low"), F.max("component").alias("high"))
     one = held.filter("low < high").select("held", F.explode("held").alias("x")).select("x", F.explode("held").alias("y"))
-    return one.filter("x.rep < y.rep AND x.component <> y.component AND x.rep <> x.pivot AND y.rep <> x.pivot").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    one = one.filter("x.rep < y.rep AND x.component <> y.component")
+    return (one if pivots else one.filter("x.rep <> x.pivot AND y.rep <> x.pivot")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) -> DataFrame | None:
-    """Components (id, component) of the documents in reps (rep, n_shingles, sign), whose sets are distinct; None without any."""
-    percent, groups, links, tested = round(100 * threshold), None, None, None
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64).tolist()
-    rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
-    for level in range(LEVELS):
-        members = store(_nodes(_children(rows, threshold)), "nodes")
-        star = members.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        found = _verified(star, reps, docs, percent)
-        links = found if links is None else links.union(found)
-        groups = connected_components(links)
-        placed = _apart(members, groups)
-        rest = _all_pairs(placed.filter(F.col("n") <= SMALL), ["path"]).distinct()
-        more = _verified(rest, reps, docs, percent)
-        if not more.isEmpty():
-            links = links.union(more)
-            groups = connected_components(links)
-            placed = _apart(members, groups)
-        large = placed.filter(F.col("n") > SMALL)
-        mixed = large.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
-        large = large.join(mixed, "path", "left_semi").join(reps.select("rep", F.col("n_shingles").alias("size")), "rep")
-        large = store(large, "large")
-        if large.isEmpty():
-            return groups
-        tested = members.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
-        rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
-    # what no level has separated; of nodes with the same documents one is enough
+def _compared(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all connected documents of each node of large (path, rep, component, size), compared in blocks."""
     node = large.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same"), F.sum("size").alias("sizes"))
-    node = node.groupBy("n", "same", "sizes").agg(F.min("path").alias("path"))
+    node = node.groupBy("n", "same", "sizes").agg(F.min("path").alias("path"))  # of nodes with the same documents one is enough
     wide = F.greatest(F.ceil(F.col("n") / BLOCK[0]), F.ceil(F.col("sizes") / BLOCK[1])).cast("int")
     node = node.select("path", wide.alias("wide"))
     ids = store(large.select(F.col("rep").alias("doc_id")).distinct(), "ids")
@@ -229,8 +206,52 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     rows = large.select("path", "rep", "component").join(node, "path").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     rows = rows.select("path", "rep", "component", "tokens", F.explode(pairs).alias("at")).select("path", "at.i", "at.j", "rep", "component", "tokens")
-    more = rows.groupBy("path", "i", "j").applyInArrow(_exhaust(percent), "a long, b long")
-    return connected_components(store(links.union(more), "links"))
+    return rows.groupBy("path", "i", "j").applyInArrow(_exhaust(percent), "a long, b long").distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Documents of nodes that do not all belong to one component."""
+    node = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
+    return placed.join(node, "path", "left_semi")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    return members.filter("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+
+
+def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Components (id, component) of the documents in reps (rep, n_shingles, sign), whose sets are distinct."""
+    percent = round(100 * threshold)
+    size = reps.select("rep", F.col("n_shingles").alias("size"))
+    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64).tolist()
+    rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
+    # first level: every node's pivot, then what is left of small nodes
+    members = store(_nodes(_children(rows, threshold)), "nodes")
+    links = _verified(_pivots(members), reps, docs, percent)
+    groups = connected_components(links)
+    placed = _apart(members, groups)
+    more = _verified(_all_pairs(placed.filter(F.col("n") <= SMALL), ["path"]).distinct(), reps, docs, percent)
+    if not more.isEmpty():
+        links = links.union(more)
+        groups = connected_components(links)
+        placed = _apart(members, groups)
+    large = store(_mixed(placed.filter(F.col("n") > SMALL)), "large")
+    for level in range(1, LEVELS):
+        if large.isEmpty():
+            break
+        rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
+        members = store(_mixed(_apart(_nodes(_children(rows, threshold)), groups)).join(size, "rep"), "nodes")
+        most = MEDIUM if level + 1 < LEVELS else 1 << 62
+        found = [_verified(_all_pairs(members.filter(F.col("n") <= SMALL), ["path"], pivots=True).distinct(), reps, docs, percent)]
+        found.append(store(_compared(members.filter((F.col("n") > SMALL) & (F.col("n") <= most)), docs, percent), "links"))
+        large = members.filter(F.col("n") > most)
+        if not large.isEmpty():
+            found.append(_verified(_pivots(large), reps, docs, percent))
+        for f in found:
+            links = links.union(f)
+        groups = connected_components(links)
+        large = store(_mixed(_apart(large.drop("component"), groups)), "large")
+    return groups
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
