@@ -48,12 +48,12 @@ FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppke
 FEEDS = """
 SELECT CASE c_custkey % 4 WHEN 0 THEN 'threatfox' WHEN 1 THEN 'urlhaus' WHEN 2 THEN 'malwarebazaar' ELSE 'otx' END AS source,
     CASE c_custkey % 4 WHEN 0 THEN 'ip:port' WHEN 1 THEN 'url' WHEN 2 THEN 'sha256' ELSE 'ip' END AS ioc_type,
-    CASE c_custkey % 4 WHEN 0 THEN concat('100.64.', CAST(CAST(floor(c_custkey / 256) AS INT) AS STRING), '.', CAST(c_custkey % 256 AS STRING), ':', CAST(1000 + c_custkey % 50 AS STRING))
+    CASE c_custkey % 4 WHEN 0 THEN concat('100.64.', CAST(CAST(floor(c_custkey / 256) AS INT) AS STRING), '.', CAST(c_custkey % 256 AS STRING), ':', CASE c_custkey % 3 WHEN 0 THEN '1080' WHEN 1 THEN '8080' ELSE '23' END)
         WHEN 1 THEN concat('http://dl', CAST(c_custkey % 9 AS STRING), '.example.net/bins/', CAST(c_custkey % 47 AS STRING), '.sh')
         WHEN 2 THEN lpad(CAST(c_custkey % 40 AS STRING), 64, 'a')
         ELSE concat('100.64.', CAST(CAST(floor(c_custkey / 256) AS INT) AS STRING), '.', CAST(c_custkey % 256 AS STRING)) END AS ioc_value,
     CASE WHEN c_custkey % 4 IN (0, 3) THEN concat('100.64.', CAST(CAST(floor(c_custkey / 256) AS INT) AS STRING), '.', CAST(c_custkey % 256 AS STRING)) END AS ip,
-    CASE WHEN c_custkey % 4 = 0 THEN CAST(1000 + c_custkey % 50 AS INT) END AS port,
+    CASE WHEN c_custkey % 4 = 0 THEN CASE c_custkey % 3 WHEN 0 THEN 1080 WHEN 1 THEN 8080 ELSE 23 END END AS port,
     CASE WHEN c_custkey % 11 = 0 THEN '' ELSE lower(c_mktsegment) END AS malware_family, CAST(50 + c_custkey % 50 AS INT) AS confidence,
     DATE '2024-01-01' + CAST(c_custkey % 20 AS INT) AS snapshot_date, c_custkey AS seq
 FROM {customer}

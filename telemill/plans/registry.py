@@ -19,7 +19,9 @@ def query(name: str, sql: str | None = None) -> Callable:
         QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             body = sql.strip()
-            ORACLES[name] = f"WITH {oracle_views()}{', ' + body[5:] if body.startswith('WITH ') else ' ' + body}"
+            recursive = "RECURSIVE " if body.startswith("WITH RECURSIVE ") else ""
+            body = body.removeprefix("WITH ").removeprefix("RECURSIVE ") if body.startswith("WITH ") else f"\0{body}"
+            ORACLES[name] = f"WITH {recursive}{oracle_views()}, {body}".replace(", \0", " ")
         return f
 
     return add

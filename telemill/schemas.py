@@ -3,8 +3,15 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+    "array<string>": T.ArrayType(T.StringType()), "map<string,string>": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema of ``name kind`` pairs; works without a session."""
+    return T.StructType([T.StructField(*[(n, _KINDS[k]) for n, k in [pair.split(" ")]][0]) for pair in text.split(", ")])
 
 
 EVENT = _struct(
@@ -14,8 +21,7 @@ EVENT = _struct(
 )
 SSH_LINE = _struct("eventid string, timestamp string, src_ip string, src_port int, dst_port int, session string, username string, password string, input string, url string, shasum string, hassh string, hasshAlgorithms string")
 CANARY_LINE = _struct(
-    "logtype int, local_time string, src_host string, dst_host string, node_id string, src_port string, dst_port string, "
-    "logdata struct<USERNAME: string, username_: string, PASSWORD: string, PATH: string, HEADERS: map<string,string>>"
+    "logtype int, local_time string, src_host string, dst_host string, node_id string, src_port string, dst_port string"
 )
 TCP_LINE = _struct("time string, level string, msg string, sensorID string, handler string, dest_port string, src_port string, src_ip string, payload_hash string")
 IOC = _struct("ioc_type string, ioc_value string, first_seen timestamp, last_seen timestamp, occurrence_count bigint, batch_count bigint, source_honeypots array<string>")
