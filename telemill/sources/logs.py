@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,9 +64,9 @@ def filtered_scan(records: DataFrame) -> DataFrame:
     return rows.withColumn("device_type", scan_type(F.coalesce("_text", F.lit("")), F.col("port"))).withColumn("banner", F.substring("_text", 1, 512)).drop("_text")
 
 
-def within_budget(records: DataFrame, max_bytes: int, port: str = "port", order: str = "ip") -> DataFrame:
-    """Records of each port up to a number of JSON bytes, in order: the rows before which less has been taken."""
-    size = F.octet_length(F.to_json(F.struct(*records.columns)))
+def within_budget(records: DataFrame, max_bytes: int, port: str = "port", order: str = "ip", size: Column | None = None) -> DataFrame:
+    """Records of each port up to a number of bytes (of their JSON, or by ``size``), in order: the rows before which less has been taken."""
+    size = F.octet_length(F.to_json(F.struct(*records.columns))) if size is None else size
     before = Window.partitionBy(port).orderBy(order, F.xxhash64(*records.columns)).rowsBetween(Window.unboundedPreceding, -1)
     return records.withColumn("_size", size).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).filter(F.col("_before") < max_bytes).drop("_size", "_before")
 
