@@ -84,27 +84,68 @@ def components(edges: DataFrame) -> DataFrame:
     return ids.join(groups, "id").select("node", "component")
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): each round, a node takes the label of largest total weight among its neighbours and itself, ties to the smallest.
+def _moves(pairs: DataFrame, gamma: float, rounds: int) -> DataFrame:
+    """(id, label) of an undirected graph (a, b, w) after rounds in which half of the nodes, by a hash of node and round, move to the best label near them.
 
-    Rounds are synchronous, with the own label counting a little more than a unit of weight, so two nodes do not swap
-    labels for ever; it stops when no label changes. Every round is written to the shared folder.
+    A label's score is the weight of a node's edges to it, less gamma times what random edges of the same degrees would
+    have; ties go to the smallest label, and a node only moves for a higher score. Every round is written to the
+    shared folder; it ends when two rounds in a row move nothing.
     """
-    e = edges.filter("src <> dst").groupBy(F.least(node_id("src"), node_id("dst")).alias("a"), F.greatest(node_id("src"), node_id("dst")).alias("b")).agg(F.sum("weight").alias("w"))
-    both = store(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "lpa-edges")
-    label = store(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")), "lpa")
-    for _ in range(rounds):
+    both = store(pairs.filter("a <> b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "move-edges")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "w")  # a loop counts twice
+    degree = store(ends.groupBy("id").agg(F.sum("w").alias("k")), "degrees")
+    total = degree.agg(F.sum("k")).first()[0] or 1.0
+    label = store(degree.select("id", F.col("id").alias("label"), F.lit(False).alias("moved")), "labels").select("id", "label")
+    still = 0
+    for n in range(rounds):
+        sums = label.join(degree, "id").groupBy("label").agg(F.sum("k").alias("sum"))
         votes = both.join(label.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", "w")
-        votes = votes.unionByName(label.select("id", "label", F.lit(1.01).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        new = store(votes.groupBy("id").agg(F.min_by("label", F.struct(-F.round("w", 6), "label")).alias("label")), "lpa")
-        changed = new.join(label.withColumnRenamed("label", "old"), "id").filter("label <> old").limit(1).count()
-        label = new
-        if not changed:
+        votes = votes.unionByName(label.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
+        votes = votes.join(label.withColumnRenamed("label", "own"), "id").join(degree, "id").join(sums, "label")
+        here = F.col("label") == F.col("own")
+        score = F.round(F.col("w") - gamma * F.col("k") * (F.col("sum") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
+        best = votes.groupBy("id", "own").agg(F.min_by("label", F.struct(-score, "label")).alias("best"), F.max(score).alias("high"), F.max(F.when(here, score)).alias("stay"))
+        turn = (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0) & (F.col("high") > F.col("stay"))
+        new = store(best.select("id", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), turn.alias("moved")), "labels")
+        still = 0 if new.filter("moved").limit(1).count() else still + 1
+        label = new.select("id", "label")
+        if still == 2:
             break
+    return label
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    """Undirected edges (a, b, w) of node ids; loops are left out."""
+    a, b = node_id("src"), node_id("dst")
+    return store(edges.filter("src <> dst").groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).agg(F.sum("weight").alias("w")), "pairs")
+
+
+def _named(edges: DataFrame, label: DataFrame) -> DataFrame:
     names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", node_id("node"))
     return names.join(label, "id").select("node", "label")
 
 
+def label_propagation(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, label): nodes take the label of largest total weight around them."""
+    return _named(edges, _moves(_pairs(edges), 0.0, rounds))
+
+
+def modularity_moves(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """(node, label) by the Louvain method: moves that gain modularity, then the same on the graph of the groups."""
+    pairs = _pairs(edges)
+    label = _moves(pairs, 1.0, rounds)
+    group = label
+    for _ in range(levels - 1):
+        of = [group.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        merged = pairs.join(of[0], "a").join(of[1], "b").groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w"))
+        pairs = store(merged, "pairs")
+        group = _moves(pairs, 1.0, rounds)  # ids are the labels below
+        if group.filter("id <> label").isEmpty():
+            break
+        label = store(label.join(group.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.col("up").alias("label")), "labels")
+    return _named(edges, label)
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with the weighted modularity of labels (node, label) over the undirected edges."""
     e = edges.filter("src <> dst").join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
@@ -115,9 +156,9 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.coalesce("inside", F.lit(0.0)) * 2 / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2)), F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label): label propagation, or connected components where their modularity is higher."""
-    spread = store(label_propagation(edges, rounds), "labels")
+def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """(node, label): modularity moves, or connected components where their modularity is higher."""
+    spread = store(modularity_moves(edges, rounds), "labels")
     joined = store(components(edges).withColumnRenamed("component", "label"), "labels")
     return spread if modularity(edges, spread).first()[0] >= modularity(edges, joined).first()[0] else joined
 
