@@ -2,8 +2,8 @@
 
 Presence of each n-gram (3 to 5 lower-cased characters, hashed to BUCKETS buckets) is counted over toxic and other
 labelled texts; the ratio of the smoothed logarithmic frequencies scales the feature, and a logistic regression is
-fitted on the scaled features. The FEATURES buckets that tell the classes apart best (chi-squared) are used, so the
-model has a fixed size and is broadcast.
+fitted on the scaled features. Of the buckets that are more frequent in toxic texts, the FEATURES that tell the classes
+apart best (chi-squared) are used: a text without any gets a low score, and the model has a fixed size and is broadcast.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from telemill.llm.shared import ship
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 20
-FEATURES = 2048
+FEATURES = 1024
 #: Labelled rows that the model is fitted on at most, the first ones by a hash of doc_id.
 SAMPLE = 20_000
 #: Weight of the squared norm in the regression.
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     gap = F.col("toxic") * F.lit(n) - F.col("other") * F.lit(p)
     chi = F.pow(gap.cast("double"), 2) / ((F.col("toxic") + F.col("other")) * F.greatest(F.lit(p + n) - F.col("toxic") - F.col("other"), F.lit(1)))
     ratio = F.log((F.col("toxic") + 1) / F.lit(p + 2)) - F.log((F.col("other") + 1) / F.lit(n + 2))
-    best = counts.filter("bucket >= 0").select("bucket", ratio.alias("ratio"), chi.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()  # FEATURES rows
+    best = counts.filter((F.col("bucket") >= 0) & (ratio > 0)).select("bucket", ratio.alias("ratio"), chi.alias("chi")).orderBy(F.desc("chi"), "bucket").limit(FEATURES).collect()  # FEATURES rows
     counts.unpersist()
     slots, ratios = np.full(BUCKETS, -1, np.int16), np.array([r["ratio"] for r in best])
     slots[[r["bucket"] for r in best]] = np.arange(len(best))
