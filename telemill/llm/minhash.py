@@ -96,9 +96,13 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """Documents of nodes that have company: (path, rep, n, pivot)."""
+    """Documents of nodes that have company: (path, rep, n, pivot).
+
+    Rows and nodes are tables, so the join is of two plain scans and a node with very many documents can be split.
+    """
+    rows = store(rows, "children")
     node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).filter("n > 1")
-    return rows.join(node, "path")
+    return rows.join(store(node, "nodes"), "path")
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +235,10 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     groups = connected_components(links)
     placed = _apart(members, groups)
     more = _verified(_all_pairs(placed.filter(F.col("n") <= SMALL), ["path"]).distinct(), reps, docs, percent)
-    if not more.isEmpty():
-        links = links.union(more)
-        groups = connected_components(links)
-        placed = _apart(members, groups)
+    links = links.union(more)
     large = store(_mixed(placed.filter(F.col("n") > SMALL)), "large")
+    if large.isEmpty():
+        return connected_components(links)
     for level in range(1, LEVELS):
         if large.isEmpty():
             break
