@@ -78,19 +78,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, marks: recurring anchors by number, with counts): the words of the windows of each such anchor."""
+    """Of (doc_id, text, anchors: recurring ones, counts): the words of the windows of each such anchor."""
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for i, j in blocks(offsets):
             _, _, h, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=False)
             hashed, doc, lo, hi = anchors(h, at)
             begin, ids = np.searchsorted(doc, np.arange(j - i + 1)), (h >> np.uint64(32)).astype(np.uint32)
-            pick, count = [], []
-            for k, marks in enumerate(batch.column(2)[i:j]):
-                for mark in marks.as_py():
-                    pick.append(begin[k] + mark["k"])
-                    count.append(mark["m"])
-            pick = np.array(pick, np.int64)
+            pick, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(j - i):
+                known, times = (batch.column(c)[i + k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+                order = np.argsort(known)
+                own = hashed[begin[k] : begin[k + 1]].view(np.int64)
+                at_known = np.minimum(np.searchsorted(known[order], own), len(known) - 1)
+                found = np.flatnonzero(known[order][at_known] == own)
+                pick.append(begin[k] + found)
+                count.append(times[order][at_known[found]])
+            pick, count = np.concatenate(pick), np.concatenate(count)
             whose = doc[pick]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(hashed[pick].view(np.int64)), pa.array(count, pa.int64()), batch.column(0)[i:j].take(pa.array(whose)), pa.array(lo[pick] - at[whose]), pa.array([ids[a : b + WINDOW].tobytes() for a, b in zip(lo[pick], hi[pick], strict=True)], pa.binary())],
@@ -190,12 +194,15 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, sketch: DataFrame, copied: DataFrame) -> DataFrame:
     """(doc_id, spans) of documents, not counting those with copies, that have a span to remove; a span is (start, end) in words."""
     reps = copied.select(F.col("rep").alias("doc_id"))
-    rows = sketch.select("doc_id", "anchors").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.posexplode("anchors").alias("k", "anchor"))
-    recurring = rows.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-    marks = store(rows.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("k", "m")).alias("marks")), "marks")
+    rows = sketch.select("doc_id", "anchors").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("anchors").alias("anchor"))
+    rows = store(rows.groupBy("doc_id", "anchor").agg(F.count("*").alias("own")), "anchors")  # once for each document that has it
+    # a table, so that the join is of two plain scans and a very common anchor can be split
+    recurring = store(rows.groupBy("anchor").agg(F.sum("own").alias("m")).filter("m > 1"), "recurring")
+    marks = rows.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("m").alias("counts"))
+    marks = store(marks, "marks")
     ids = marks.select("doc_id")
     texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count())
-    stretches = texts.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, ids binary")
+    stretches = texts.join(marks, "doc_id").select("doc_id", "text", "anchors", "counts").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, ids binary")
     stretches = store(stretches, "stretches")
     counted = stretches.select("anchor", "m", "ids").mapInArrow(_counted, "anchor long, m long, window long")
     confirmed = counted.groupBy("window").agg(F.count("*").alias("times"), F.first("anchor").alias("anchor"), F.max("m").alias("m")).filter("times > 1")
