@@ -15,15 +15,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are scanned at once; arrays of 8 bytes a byte are made for so many.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's 64 MB.
+BATCH_BYTES = 4 << 20
 #: Ids of documents that may be broadcast to filter a scan (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, as ``--py-files`` would, once for each application."""
+    """Send this package to the Python workers, as ``--py-files`` would, once for each application; keep Arrow batches small."""
+    if spark.conf.get(_BATCH, None) in (None, "67108864b", "64m", "64MB"):
+        spark.conf.set(_BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
