@@ -11,9 +11,9 @@ SEQ = "_seq"
 
 
 def _newest(name: str, keep: Column | None = None) -> Column:
-    """Value of the latest row, of those that ``keep`` allows."""
-    held = F.struct(F.col(SEQ), F.col(name))
-    return F.max_by(F.col(name), F.when(F.lit(True) if keep is None else keep, F.struct(SEQ, F.xxhash64(name)))) if keep is None else F.max(F.when(keep, held))[name]
+    """Value of the latest row, or of the latest that ``keep`` allows."""
+    at = F.struct(SEQ, F.xxhash64(name))
+    return F.max_by(F.col(name), at if keep is None else F.when(keep, at))
 
 
 def _oldest(name: str) -> Column:
@@ -21,7 +21,8 @@ def _oldest(name: str) -> Column:
 
 
 def _union(name: str) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(name, F.array().cast("array<string>"))))))
+    """Sorted union; each task keeps the distinct arrays only, so a key with very many rows stays small."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(name, F.array().cast("array<string>"))))))
 
 
 RULES = {
@@ -30,10 +31,10 @@ RULES = {
     "sum": lambda n: F.sum(n),
     "union": _union,
     "new": _newest,
-    "new_not_null": lambda n: F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.struct(SEQ, F.xxhash64(n)))),
-    "new_not_empty": lambda n: F.max_by(F.col(n), F.when(F.size(n) > 0, F.struct(SEQ, F.xxhash64(n)))),
-    "new_not_blank": lambda n: F.coalesce(F.max_by(F.col(n), F.when(F.col(n) != "", F.struct(SEQ, F.xxhash64(n)))), F.max(n)),
-    "new_known": lambda n: F.coalesce(F.max_by(F.col(n), F.when(F.col(n) != "unknown", F.struct(SEQ, F.xxhash64(n)))), F.max(n)),
+    "new_not_null": lambda n: _newest(n, F.col(n).isNotNull()),
+    "new_not_empty": lambda n: _newest(n, F.size(n) > 0),
+    "new_not_blank": lambda n: F.coalesce(_newest(n, F.col(n) != ""), F.max(n)),
+    "new_known": lambda n: F.coalesce(_newest(n, F.col(n) != "unknown"), F.max(n)),
     "old": _oldest,
 }
 
