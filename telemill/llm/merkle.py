@@ -1,6 +1,6 @@
 """Document fingerprints: Merkle trees over clauses, paragraphs and sections, made of built-in functions only.
 
-A paragraph is a line; its leaves are its clauses (cut after ``. ! ? ; , :`` before white space). A section is a run of
+A paragraph is a line; its leaves are its clauses (up to a word that ends with ``. ! ? ; , :``), at most four words each. A section is a run of
 paragraphs that ends where a paragraph's digest says so, so an insertion moves no later border. A node's digest is taken
 over its children's, so equal roots mean equal texts, equal branches are skipped, and the differing ones say where an
 edit is. The fingerprint is written as ``root:section|section|...``, a section as its paragraphs joined by ``;`` and a
@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 BUCKETS, MOST_BUCKETS = 4, 1 << 16
 
 
+#: A leaf: up to four words, the last of which alone may end a clause.
+LEAF = r"(?:\S*[^\s.!?;,:]\s+){0,3}\S+"
+
+
 def fingerprint(text: Column) -> Column:
     """Fingerprint of a text; null counts as empty."""
-    leaf = lambda c: F.substring(F.lower(F.hex(F.xxhash64(c))), -8, 8)
-    clauses = lambda p: F.split(p, r"(?<=[.!?;,:])(?=\s)")
+    leaf = lambda c: F.substring(F.lower(F.hex(F.xxhash64(c))), -5, 5)
+    clauses = lambda p: F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))
     # the root covers every byte, leaves are short digests for comparison
     paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.array_join(F.transform(clauses(p), leaf), " "))
     tree = F.regexp_replace(F.array_join(paragraphs, ";"), r"(?<=[0-3]);", "|")
