@@ -26,6 +26,8 @@ from telemill.plans.storage import store
 PER_LEADER, LEADERS, SAMPLED = 400, 1024, 4
 #: Shards that a vector goes to; audit() says what recall that gives.
 OVERLAP = 3
+#: Vectors that are dealt to leaders together.
+PART = 4000
 #: Vectors in a block; a task holds two blocks.
 BLOCK = 1000
 #: Neighbours of a vector, slack of the pruning rule, walk width.
@@ -173,18 +175,13 @@ def _leaders(sample: pd.DataFrame) -> pd.DataFrame:
 
 
 def _deal(overlap: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(vec_id, homes): numbers of the nearest leaders."""
-        for batch in batches:
-            units, labels = matrix(batch.column(1).to_pylist()), batch.column(2).to_numpy(zero_copy_only=False)
-            leaders = {label: batch.column(3)[int(np.flatnonzero(labels == label)[0])] for label in np.unique(labels)}
-            homes = np.empty(len(units), object)
-            for label, own in leaders.items():
-                rows, lead = np.flatnonzero(labels == label), matrix(own.as_py())
-                near = np.argsort(-(units[rows] @ lead.T), axis=1, kind="stable")[:, :overlap]
-                for r, x in zip(rows, near, strict=True):
-                    homes[r] = x.tolist()
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(homes.tolist(), pa.list_(pa.int32())), batch.column(4)], ["vec_id", "unit", "label", "homes", "copies"])
+    def deal(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        """rows with homes: numbers of their nearest leaders."""
+        if rows.empty:
+            return pd.DataFrame({"vec_id": [], "unit": [], "label": [], "homes": [], "copies": []})
+        lead = matrix(leaders["leaders"].iloc[0])
+        near = np.argsort(-(matrix(rows["unit"]) @ lead.T), axis=1, kind="stable")[:, :overlap].astype(np.int32)
+        return rows[["vec_id", "unit", "label", "copies"]].assign(homes=list(near))[["vec_id", "unit", "label", "homes", "copies"]]
 
     return deal
 
@@ -217,11 +214,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVE
     classes = store(classes, "same")
     reps = units.withColumnRenamed("vec_id", "rep").dropDuplicates(["rep"]).join(classes.select("rep", "copies"), "rep").withColumnRenamed("rep", "vec_id")
     most = classes.groupBy("label").agg(F.least(F.ceil(F.count("*") / PER_LEADER), F.lit(LEADERS)).cast("int").alias("most"), F.count("*").alias("all"))
+    most = store(most.withColumn("parts", F.ceil(F.col("all") / PART).cast("int")), "labels")
+    rows = reps.join(most, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     # about SAMPLED vectors for each leader: a vector is in by its hash
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = reps.join(most, "label").withColumn("place", place).filter(F.col("place") <= F.greatest(F.col("most") * SAMPLED, F.lit(64)) / F.col("all"))
+    place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = rows.withColumn("place", place).filter(F.col("place") <= F.greatest(F.col("most") * SAMPLED, F.lit(64)) / F.col("all"))
     leaders = sample.select("vec_id", "unit", "label", "most", "place").groupBy("label").applyInPandas(_leaders, "label string, leaders array<binary>")
-    dealt = store(reps.join(leaders, "label").select("vec_id", "unit", "label", "leaders", "copies").mapInArrow(_deal(overlap), "vec_id long, unit binary, label string, homes array<int>, copies long"), "dealt")
+    leaders = leaders.join(most.select("label", "parts"), "label").select("label", "leaders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = rows.select("vec_id", "unit", "label", "copies", "part").groupBy("label", "part").cogroup(leaders.groupBy("label", "part"))
+    dealt = store(own.applyInPandas(_deal(overlap), "vec_id long, unit binary, label string, homes array<int>, copies long"), "dealt")
     task = ["label", "home", "i", "j"]
     rows = _tasks(dealt)
     graph = rows.select(*task, "vec_id", "unit").groupBy(*task).applyInPandas(_graph, "vec_id long, near array<long>")
