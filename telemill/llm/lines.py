@@ -40,18 +40,18 @@ def drop_boilerplate(docs: DataFrame, host: str | Column = "source", text: str =
     their own. Columns called n_lines and n_dropped are replaced. An empty table gives an empty result.
     """
     host = F.col(host) if isinstance(host, str) else host
-    rows = docs.withColumn("_host", F.concat(F.lit("="), host.cast("string"))).withColumn("_host", F.coalesce("_host", F.lit("")))
-    found = store(boilerplate(rows.select(F.col("_host").alias("host"), F.col(text).alias("text")), ratio, least), "boilerplate")
+    rows = docs.withColumn("__tm_host", F.concat(F.lit("="), host.cast("string"))).withColumn("__tm_host", F.coalesce("__tm_host", F.lit("")))
+    found = store(boilerplate(rows.select(F.col("__tm_host").alias("host"), F.col(text).alias("text")), ratio, least), "boilerplate")
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("n")).first()["n"]
-    found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_common"))
-    rows = rows.join(F.broadcast(found) if size <= BROADCAST_IDS // 4 else found, "_host", "left")
+    found = found.select(F.col("host").alias("__tm_host"), F.col("lines").alias("__tm_common"))
+    rows = rows.join(F.broadcast(found) if size <= BROADCAST_IDS // 4 else found, "__tm_host", "left")
     lines = F.split(text, "\n", -1)
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_common", _key(x)))
-    rows = rows.withColumn("_kept", F.when(F.col("_common").isNotNull() & F.col(text).isNotNull(), kept))
+    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("__tm_common", _key(x)))
+    rows = rows.withColumn("__tm_kept", F.when(F.col("__tm_common").isNotNull() & F.col(text).isNotNull(), kept))
     count = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    out = rows.withColumn("n_lines", count).withColumn("n_dropped", F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")))
-    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    return out.drop("_host", "_common", "_kept")
+    out = rows.withColumn("n_lines", count).withColumn("n_dropped", F.when(F.col("__tm_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("__tm_kept")))
+    out = out.withColumn(text, F.when(F.col("n_dropped") > 0, F.array_join("__tm_kept", "\n")).otherwise(F.col(text)))
+    return out.drop("__tm_host", "__tm_common", "__tm_kept")
 
 
 #: The same in DuckDB, over documents by source.

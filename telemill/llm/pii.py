@@ -182,10 +182,10 @@ def pseudonymise(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
     is replaced. The key is in the plan of the job: give it from a secret store, not from a file of the repository.
     """
     may = F.col(text).rlike(r"[0-9]|@")
-    found = docs.withColumn("_found", F.when(may, F.regexp_extract_all(text, F.lit(ANY), 0)))
-    some = F.size("_found") > 0
-    found = found.withColumn("_new", F.when(some, F.transform("_found", lambda m: pseudonym(m, secret))))
+    found = docs.withColumn("__tm_found", F.when(may, F.regexp_extract_all(text, F.lit(ANY), 0)))
+    some = F.size("__tm_found") > 0
+    found = found.withColumn("__tm_new", F.when(some, F.transform("__tm_found", lambda m: pseudonym(m, secret))))
     between = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
-    return found.withColumn(text, F.when(some, joined).otherwise(F.col(text))).withColumn("n_private", F.when(some, count).otherwise(0).cast("int")).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(between, "__tm_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    count = F.size(F.filter(F.arrays_zip("__tm_found", "__tm_new"), lambda x: x["__tm_found"] != x["__tm_new"]))
+    return found.withColumn(text, F.when(some, joined).otherwise(F.col(text))).withColumn("n_private", F.when(some, count).otherwise(0).cast("int")).drop("__tm_found", "__tm_new")
