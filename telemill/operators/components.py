@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from telemill.plans.storage import store
 
 
+PER_TASK = 200_000
+
+
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
     return row["n"], row["s"]
@@ -21,7 +24,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     per vertex (partial aggregation first, so a hub costs one row per task), and is written to the shared folder.
     """
     edge = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edge = store(edge.filter((F.col("u") != F.col("v")) & F.col("u").isNotNull() & F.col("v").isNotNull()).distinct(), "cc")
+    # few edges need few tasks: about PER_TASK edges in each file that a round writes
+    parts = max(8, -(-edges.count() // PER_TASK))
+
+    def keep(df: DataFrame) -> DataFrame:
+        return store(df.coalesce(parts), "cc")
+
+    edge = keep(edge.filter((F.col("u") != F.col("v")) & F.col("u").isNotNull() & F.col("v").isNotNull()).distinct())
     before = _checksum(edge)
     for _ in range(max_rounds):
         if not before[0]:
@@ -30,11 +39,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         both = edge.union(edge.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(large.filter("u != v").distinct(), "cc")
+        large = keep(large.filter("u != v").distinct())
         # small-star: a vertex and its smaller neighbours are hung on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edge = store(moved.filter("u != v").distinct(), "cc")
+        edge = keep(moved.filter("u != v").distinct())
         after = _checksum(edge)
         if after == before:
             break
