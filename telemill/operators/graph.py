@@ -78,7 +78,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): nodes that edges connect, whatever their direction; the component is the smallest hashed id in it."""
-    e = edges.select("src", "dst").distinct()
+    e = store(edges.select("src", "dst").distinct(), "pairs")
     ids = store(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", node_id("node")), "node-ids")
     groups = connected_components(e.select(node_id("src").alias("a"), node_id("dst").alias("b")))
     return ids.join(groups, "id").select("node", "component")
