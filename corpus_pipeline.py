@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from telemill.llm import lines, minhash, packing, pii, toxicity
 from telemill.llm.queries import PSEUDONYM_KEY
-from telemill.llm.shared import BROADCAST_IDS
+from telemill.llm.shared import BROADCAST_IDS, numbered
 from telemill.plans.storage import store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,13 +31,14 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near duplicates."""
-    found = minhash.near_duplicates(docs)
-    gone = store(found.filter("NOT kept").select("doc_id"), "gone")
-    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    if not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rest = rest.dropDuplicates(["doc_id"])  # a row that is repeated with its doc_id
-    return _documents(rest)
+    """One row of each class of near duplicates: that of smallest doc_id, nulls last, and of rows that share it one.
+
+    Rows are told apart by numbers of their own, not by doc_id: rows that share a doc_id, or have none, go only if they
+    are near copies. Rows without words are copies of nothing, so each stays.
+    """
+    rows = numbered(docs, *COLUMNS)
+    gone = store(minhash.row_classes(rows).filter("NOT kept").select("row"), "gone")
+    return _documents(rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "row", "left_anti"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

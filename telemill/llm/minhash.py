@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import blocks, mix, only_ids, runs, ship, strings, words
+from telemill.llm.shared import blocks, mix, numbered, only_ids, runs, ship, strings, words
 from telemill.operators.components import connected_components
 from telemill.plans.storage import store
 
@@ -65,12 +65,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = np.stack([np.minimum.reduceat(every * m, bounds) for m in _ODD], 1) >> np.uint64(32)
                 for row, k in zip(low.astype(np.uint32), full, strict=True):
                     signs[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(signs, pa.binary())], ["row", "doc_id", "n_shingles", "d1", "d2", "sign"])
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2: a digest of the set, sign: its minwise tokens) of (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n_shingles long, d1 long, d2 long, sign binary")
+def sketches(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, n_shingles, d1, d2: a digest of the set, sign: its minwise tokens) of (row, doc_id, text)."""
+    return rows.select("row", "text", F.col("doc_id").cast("long")).mapInArrow(_sketch, "row long, doc_id long, n_shingles long, d1 long, d2 long, sign binary")
 
 
 def _branch(threshold: float):
@@ -117,7 +117,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = strings(batch.column(1))
         for i, j in blocks(offsets):
             sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["row", "tokens"])
 
 
 def _confirm(percent: int):
@@ -139,11 +139,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
         pairs = pairs.join(reps.select(F.col("rep").alias(k), F.col("sign").alias(f"sign_{k}"), F.col("n_shingles").alias(f"n_{k}")), k)
     pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sign_a", "sign_b")
     pairs = store(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count()).mapInArrow(_sets, "doc_id long, tokens binary")
+    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ids")
+    sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary")
     full = pairs
     for k in ("b", "a"):
-        full = full.join(sets.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"set_{k}")), k)
+        full = full.join(sets.select(F.col("row").alias(k), F.col("tokens").alias(f"set_{k}")), k)
     return store(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
@@ -205,8 +205,8 @@ def _compared(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     node = node.groupBy("n", "same", "sizes").agg(F.min("path").alias("path"))  # of nodes with the same documents one is enough
     wide = F.greatest(F.ceil(F.col("n") / BLOCK[0]), F.ceil(F.col("sizes") / BLOCK[1])).cast("int")
     node = node.select("path", wide.alias("wide"))
-    ids = store(large.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count()).mapInArrow(_sets, "doc_id long, tokens binary").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"])
+    ids = store(large.select(F.col("rep").alias("row")).distinct(), "ids")
+    sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary").withColumnRenamed("row", "rep")
     rows = large.select("path", "rep", "component").join(node, "path").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     rows = rows.select("path", "rep", "component", "tokens", F.explode(pairs).alias("at")).select("path", "at.i", "at.j", "rep", "component", "tokens")
@@ -224,7 +224,7 @@ def _pivots(members: DataFrame) -> DataFrame:
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Components (id, component) of the documents in reps (rep, n_shingles, sign), whose sets are distinct."""
+    """Components (id, component) of the rows of docs (row, text) in reps (rep, n_shingles, sign), whose sets are distinct."""
     percent = round(100 * threshold)
     size = reps.select("rep", F.col("n_shingles").alias("size"))
     roots = mix(np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64).tolist()
@@ -257,22 +257,40 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     return groups
 
 
+def row_classes(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Classes of near-duplicate rows of (row, doc_id, text), of which only ``row`` (from numbered) must be there and unique.
+
+    Returns row, doc_id, n_shingles, component (a row of the class, the same for all its rows), component_id (its smallest
+    doc_id; null where it has none) and kept: whether the row stands for its class. That is the one of smallest doc_id,
+    nulls last, and of rows that share it the one of smallest number; a row without shingles is a class by itself.
+    """
+    ship(rows.sparkSession)
+    sketch = store(sketches(rows), "sketch")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = sketch.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("row").alias("rep"), head.alias("head"))
+    classes = store(classes, "classes")
+    reps = sketch.select(F.col("row").alias("rep"), "n_shingles", "sign").join(classes.select("rep"), "rep", "left_semi")
+    groups = similar_links(rows, store(reps, "reps"), threshold)
+    classes = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    heads = classes.groupBy("component").agg(F.min("head").alias("head"))
+    classes = classes.drop("rep", "head").join(heads, "component")
+    out = sketch.drop("sign").join(classes, ["d1", "d2", "n_shingles"], "left")
+    alone = F.col("component").isNull()
+    component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id")
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"), component_id, (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Classes of near-duplicate documents.
 
     docs has (doc_id, text); other columns are ignored. Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased; a
     document's set holds its distinct 5-word shingles, or with fewer words its whole sequence. Documents link when the
     Jaccard similarity of their sets is at least ``threshold``. Returns one row per document: doc_id, n_shingles,
-    component_id (smallest doc_id that links reach), kept (doc_id = component_id). Null or empty texts have no
-    shingles and link with nothing; equal texts always link; rows that repeat a doc_id each get a row; an empty table
-    gives an empty result.
+    component_id (smallest doc_id that links reach), kept (one row of each class: doc_id = component_id where ids are
+    unique). Null or empty texts have no shingles and link with nothing; equal texts always link. Rows are told apart by
+    a number of their own, so rows that repeat a doc_id, and rows whose doc_id is null, are compared like others and each
+    get a row; of a class's rows with its smallest doc_id one is kept, and one of null doc_id if it has no other; a class
+    of null ids only has a null component_id. An empty table gives an empty result.
     """
-    ship(docs.sparkSession)
-    sketch = store(sketches(docs), "sketch")
-    classes = sketch.filter("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = store(classes, "classes")
-    reps = sketch.select(F.col("doc_id").alias("rep"), "n_shingles", "sign").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    groups = similar_links(docs, store(reps, "reps"), threshold)
-    classes = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"))
+    rows = numbered(docs, F.col("doc_id").cast("long"), "text")
+    return row_classes(rows, threshold).select("doc_id", "n_shingles", "component_id", "kept")

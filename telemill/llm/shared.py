@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telemill.plans.storage import store
+
 #: Bytes of text that are scanned at once; arrays of 8 bytes a byte are made for so many.
 BLOCK = 1 << 19
 #: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's 64 MB.
@@ -46,6 +48,11 @@ def only_ids(df: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
 
 
+def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of df and ``row``, a number of each row that no other has, whatever its ids are; written, so that it stays."""
+    return store(df.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -267,3 +267,18 @@ def test_pipeline_without_documents(spark):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_near_dedup_stage_keeps_unique_rows(spark):
+    """A repeated doc_id and null ids cost no text; of near copies with such ids one row stays."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    a, b, c, d, e = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(5))
+    near = lambda x: " ".join([*x[:-1], "changed"])
+    a, b, c, d, e = (" ".join(x) for x in (a, b, c, d, e))
+    rows = [(1, a), (1, b), (2, near(a.split())), (0, near(b.split())), (None, c), (None, near(c.split())), (None, d), (7, near(d.split())), (3, e), (3, e), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, docs, SF).collect())
+    c_kept = next(t for i, t in got if i is None and t in (c, near(c.split())))
+    assert got == Counter([(1, a), (0, near(b.split())), (None, c_kept), (7, near(d.split())), (3, e), (None, None), (None, "")])
