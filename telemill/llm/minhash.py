@@ -40,21 +40,21 @@ ESTIMATE = 0.55
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each document the sorted distinct hashes of its SHINGLE-word shingles, ASCII lower-cased."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each document the sorted distinct hashes of its SHINGLE-word shingles, ASCII lower-cased, and its number of words."""
     _, _, h, at = words(data, offsets, lower=True)
     g, out = runs(h, SHINGLE), []
     for a, b in zip(at[:-1], at[1:], strict=True):
         n = b - a
         out.append(np.unique(g[a : b - SHINGLE + 1]) if n >= SHINGLE else runs(h[a:b], int(n)) if n else g[:0])
-    return out
+    return out, np.diff(at)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for i, j in blocks(offsets):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sets, n_words = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sizes = np.array([len(s) for s in sets])
             full = np.flatnonzero(sizes)
             digest, signs = np.zeros((2, len(sets)), np.uint64), [b""] * len(sets)
@@ -65,12 +65,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = np.stack([np.minimum.reduceat(every * m, bounds) for m in _ODD], 1) >> np.uint64(32)
                 for row, k in zip(low.astype(np.uint32), full, strict=True):
                     signs[k] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(signs, pa.binary())], ["row", "doc_id", "n_shingles", "d1", "d2", "sign"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(2)[i:j], pa.array(n_words, pa.int64()), pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(signs, pa.binary())], ["row", "doc_id", "n_words", "n_shingles", "d1", "d2", "sign"])
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(row, doc_id, n_shingles, d1, d2: a digest of the set, sign: its minwise tokens) of (row, doc_id, text)."""
-    return rows.select("row", "text", F.col("doc_id").cast("long")).mapInArrow(_sketch, "row long, doc_id long, n_shingles long, d1 long, d2 long, sign binary")
+    """(row, doc_id, n_words, n_shingles, d1, d2: a digest of the set, sign: its minwise tokens) of (row, doc_id, text)."""
+    return rows.select("row", "text", F.col("doc_id").cast("long")).mapInArrow(_sketch, "row long, doc_id long, n_words long, n_shingles long, d1 long, d2 long, sign binary")
 
 
 def _branch(threshold: float):
@@ -116,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for i, j in blocks(offsets):
-            sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            sets, _ = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["row", "tokens"])
 
 
@@ -260,7 +260,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
 def row_classes(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Classes of near-duplicate rows of (row, doc_id, text), of which only ``row`` (from numbered) must be there and unique.
 
-    Returns row, doc_id, n_shingles, component (a row of the class, the same for all its rows), component_id (its smallest
+    Returns row, doc_id, n_words, n_shingles, component (a row of the class, the same for all its rows), component_id (its smallest
     doc_id; null where it has none) and kept: whether the row stands for its class. That is the one of smallest doc_id,
     nulls last, and of rows that share it the one of smallest number; a row without shingles is a class by itself.
     """
@@ -277,7 +277,7 @@ def row_classes(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     out = sketch.drop("sign").join(classes, ["d1", "d2", "n_shingles"], "left")
     alone = F.col("component").isNull()
     component_id = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id")
-    return out.select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"), component_id, (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
+    return out.select("row", "doc_id", "n_words", "n_shingles", F.coalesce("component", "row").alias("component"), component_id, (alone | (F.col("head.row") == F.col("row"))).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:

@@ -8,10 +8,12 @@ goes on to the next successor until the bin's source and duplicate-cluster bitma
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import ship
+from telemill.llm import minhash
+from telemill.llm.shared import numbered, ship
+from telemill.plans.storage import store
 
 #: Words of a sequence, pieces of a shard on average.
 CAPACITY, SHARD = 2048, 2000
@@ -94,11 +96,14 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     return piece.groupBy("shard").applyInPandas(_pack(capacity), "bin long, place long, doc_id long, piece int, start long, length long")
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-
-
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """best_fit() of (doc_id, text, source) by words; texts that are equal but for case and white space are a cluster."""
-    cluster = F.xxhash64(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    return best_fit(docs.select("doc_id", word_count(F.col("text")).alias("length"), "source", cluster.alias("cluster")), capacity)
+    """best_fit() of (doc_id, text, source) by words ``[^\\x20\\x09-\\x0D]+``; a class of near duplicates is a cluster.
+
+    Classes are those of minhash.near_duplicates() over the texts in lower case, so texts that are equal but for case and
+    white space are a cluster too. Rows are told apart by numbers of their own: one whose doc_id is null or repeated is
+    compared and packed like others.
+    """
+    rows = numbered(docs, F.col("doc_id").cast("long"), F.lower("text").alias("text"), F.col("source").cast("string"))
+    found = minhash.row_classes(rows).select("row", "doc_id", F.col("n_words").alias("length"), F.col("component").alias("cluster"))
+    items = found.join(rows.select("row", "source"), "row").select("doc_id", "length", "source", "cluster")
+    return best_fit(store(items, "items"), capacity)

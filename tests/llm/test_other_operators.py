@@ -116,6 +116,24 @@ def test_packing_keeps_every_word(spark, documents):
     assert best_fit(spark.createDataFrame([], "doc_id long, length long, source string, cluster long")).count() == 0
 
 
+def test_near_copies_share_no_sequence(spark, documents):
+    """Copies with a word changed, of other sources or of none, and copies in another case."""
+    from telemill.llm.packing import pack_documents
+
+    rng = random.Random(21)
+    texts = []
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(10**6)}é" for _ in range(60)]
+        texts += [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (3, 20, 40)] + [" ".join(base).upper()]
+    for source in (lambda k: f"s{k}", lambda k: None):
+        rows = pack_documents(documents(texts, source=source), capacity=512).collect()
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.bin].append(r.doc_id // 4)
+        assert sum(r.length for r in rows) == 60 * len(texts) and all(len(v) == len(set(v)) for v in bins.values())
+        assert len(bins) < len(texts)  # other texts do
+
+
 # --- op8 -------------------------------------------------------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<float>, label int, n_links string, copies string"
