@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import BROADCAST_IDS, ship
+from telemill.llm.shared import BROADCAST_IDS, numbered, ship
 from telemill.plans.storage import scratch_path, store
 
 VERSION = "WARC/1.1\r\n"
@@ -48,14 +48,14 @@ def _chunks(size: int):
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            for record, uri, html in zip(*batch.columns, strict=True):
-                record, uri, sha, done = record.as_py(), uri.as_py(), hashlib.sha1(), 0
+            for record, row, uri, html in zip(*batch.columns, strict=True):
+                record, row, uri, sha, done = record.as_py(), row.as_py(), uri.as_py(), hashlib.sha1(), 0
                 payload = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
                 for k, chunk in enumerate(cut(payload, size)):
                     sha.update(chunk)
                     done += len(chunk)
                     held += len(chunk)
-                    rows.append((record, uri, k, bytes(chunk), done, sha.hexdigest(), done == len(payload)))
+                    rows.append((record, row, uri, k, bytes(chunk), done, sha.hexdigest(), done == len(payload)))
                     if held >= 4 << 20:
                         yield _batch(rows)
                         rows, held = [], 0
@@ -64,28 +64,31 @@ def _chunks(size: int):
     return chunks
 
 
-_CHUNK = pa.schema([("record_id", pa.int64()), ("uri", pa.string()), ("chunk", pa.int32()), ("bytes", pa.binary()), ("done", pa.int64()), ("digest", pa.string()), ("last", pa.bool_())])
+_CHUNK = pa.schema([("record_id", pa.int64()), ("row", pa.int64()), ("uri", pa.string()), ("chunk", pa.int32()), ("bytes", pa.binary()), ("done", pa.int64()), ("digest", pa.string()), ("last", pa.bool_())])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_CHUNK)], schema=_CHUNK)
 
 
-def chunk_table(pages: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Chunks of (page_id, url, html): record_id, uri, chunk (from 0), bytes, done and digest (SHA-1 hex) of all bytes so far, last.
+def chunk_table(pages: DataFrame, size: int = CHUNK, row: str | None = None) -> DataFrame:
+    """Chunks of (page_id, url, html): record_id, row, uri, chunk (from 0), bytes, done and digest (SHA-1 hex) of all bytes so far, last.
 
-    A null or empty html has one empty chunk. One pass, no shuffle; a batch of rows is given on after 4 MB.
+    A null or empty html has one empty chunk. A record's key is (record_id, row); ``row`` names a column of numbers that
+    tell rows of one page_id apart (see numbered) and may be left out where page_id is unique. One pass, no shuffle; a batch of rows is given on after 4 MB.
     """
     ship(pages.sparkSession)
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url"), F.col("html"))
-    return rows.mapInArrow(_chunks(size), "record_id long, uri string, chunk int, bytes binary, done long, digest string, last boolean")
+    rows = pages.select(F.col("page_id").cast("long"), (F.col(row) if row else F.lit(0)).cast("long"), F.col("url"), F.col("html"))
+    return rows.mapInArrow(_chunks(size), "record_id long, row long, uri string, chunk int, bytes binary, done long, digest string, last boolean")
 
 
 def revisits(chunks: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
-    """(record_id, refers_to) of records of which an equal payload of at least ``least`` bytes has a larger id, the largest being referred to."""
-    whole = chunks.filter("last").filter(F.col("done") >= least).select("record_id", "digest", "done")
-    kept = whole.groupBy("digest", "done").agg(F.max("record_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return whole.join(kept, ["digest", "done"]).filter("record_id < refers_to").select("record_id", "refers_to").distinct()
+    """(record_id, row, refers_to, refers_row) of records of which an equal payload of at least ``least`` bytes has a larger id, the largest being referred to; a null id is below all others."""
+    whole = chunks.filter("last").filter(F.col("done") >= least).select("record_id", "row", "digest", "done")
+    kept = whole.groupBy("digest", "done").agg(F.max(F.struct("record_id", (-F.col("row")).alias("row"))).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+    kept = kept.select("digest", "done", F.col("kept.record_id").alias("refers_to"), (-F.col("kept.row")).alias("refers_row"))
+    again = whole.join(kept, ["digest", "done"]).filter("refers_to IS NOT NULL AND (record_id IS NULL OR record_id < refers_to)")
+    return again.select("record_id", "row", "refers_to", "refers_row")
 
 
 def _line(name: str, value: Column | str) -> Column:
@@ -93,8 +96,9 @@ def _line(name: str, value: Column | str) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
 
 
-def _urn(record: Column, chunk: Column | int = 0) -> Column:
-    return F.format_string("<urn:page:%d:%d>", record, F.lit(chunk) if isinstance(chunk, int) else chunk)
+def _urn(record: Column, row: Column, chunk: Column | int = 0) -> Column:
+    """The name of a chunk's record; a null id is written as ``-``."""
+    return F.format_string("<urn:page:%s:%d:%d>", F.coalesce(record.cast("string"), F.lit("-")), row, F.lit(chunk) if isinstance(chunk, int) else chunk)
 
 
 def write_archive(chunks: DataFrame, again: DataFrame, path: str, compression: str = "none") -> None:
@@ -102,8 +106,9 @@ def write_archive(chunks: DataFrame, again: DataFrame, path: str, compression: s
 
     The list of revisits is broadcast up to BROADCAST_IDS rows, else it is joined by a shuffle.
     """
-    again = store(again.select("record_id", "refers_to"), "revisits")
-    rows = chunks.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "record_id", "left")
+    again = store(again.select(F.col("record_id").alias("own_id"), F.col("row").alias("own_row"), "refers_to", "refers_row"), "revisits")
+    same = F.col("record_id").eqNullSafe(F.col("own_id")) & (F.col("row") == F.col("own_row"))
+    rows = chunks.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, same, "left")
     revisit = F.col("refers_to").isNotNull()
     rows = rows.filter(~revisit | F.col("last"))
     first, last = revisit | (F.col("chunk") == 0), F.col("last")
@@ -114,13 +119,13 @@ def write_archive(chunks: DataFrame, again: DataFrame, path: str, compression: s
     record = F.concat(
         F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").when(first, "response").otherwise("continuation"), F.lit("\r\n")),
-        _line("WARC-Record-ID", _urn(F.col("record_id"), F.when(revisit, F.lit(0)).otherwise(F.col("chunk")))),
+        _line("WARC-Record-ID", _urn(F.col("record_id"), F.col("row"), F.when(revisit, F.lit(0)).otherwise(F.col("chunk")))),
         _line("WARC-Date", "1970-01-01T00:00:00Z"),
         _line("WARC-Target-URI", uri),
-        F.when(revisit, _line("WARC-Refers-To", _urn(F.col("refers_to")))).otherwise(none),
+        F.when(revisit, _line("WARC-Refers-To", _urn(F.col("refers_to"), F.col("refers_row")))).otherwise(none),
         F.when(revisit, _line("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")).otherwise(none),
         F.when(segmented, _line("WARC-Segment-Number", F.col("chunk") + 1)).otherwise(none),
-        F.when(segmented & ~first, _line("WARC-Segment-Origin-ID", _urn(F.col("record_id")))).otherwise(none),
+        F.when(segmented & ~first, _line("WARC-Segment-Origin-ID", _urn(F.col("record_id"), F.col("row")))).otherwise(none),
         F.when(segmented & last, _line("WARC-Segment-Total-Length", F.col("done"))).otherwise(none),
         F.when(last, _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))).otherwise(none),
         F.when(revisit, _line("X-Payload-Length", F.col("done"))).otherwise(none),
@@ -133,7 +138,7 @@ def write_archive(chunks: DataFrame, again: DataFrame, path: str, compression: s
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Record rows of archives: record_id, chunk, type, uri, refers_to, payload_bytes and payload_digest (as headed), bytes, intact (the block has its Content-Length)."""
+    """Record rows of archives: record_id, row, chunk, type, uri, refers_to, payload_bytes and payload_digest (as headed), bytes, intact (the block has its Content-Length)."""
     text = spark.read.option("lineSep", VERSION).text(path).filter("value <> ''")
     head = F.substring_index("value", "\r\n\r\n", 1)
     block = F.expr("substring(value, length(head) + 5, length(value) - length(head) - 8)")
@@ -142,13 +147,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def get(name: str) -> Column:
         return F.nullif(F.regexp_extract("head", rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
 
-    ids = get("WARC-Record-ID")
+    def part(name: str, k: int) -> Column:
+        """A part of a name that _urn made; null for ``-``."""
+        return F.regexp_extract(get(name), r"^<urn:page:(-|-?\d+):(\d+):(\d+)>$", k).try_cast("long")
+
     return rows.select(
-        F.regexp_extract(ids, r":(-?\d+):", 1).cast("long").alias("record_id"),
-        F.regexp_extract(ids, r":(\d+)>", 1).cast("int").alias("chunk"),
+        part("WARC-Record-ID", 1).alias("record_id"),
+        part("WARC-Record-ID", 2).alias("row"),
+        part("WARC-Record-ID", 3).cast("int").alias("chunk"),
         get("WARC-Type").alias("type"),
         get("WARC-Target-URI").alias("uri"),
-        F.regexp_extract(get("WARC-Refers-To"), r":(-?\d+):", 1).cast("long").alias("refers_to"),
+        part("WARC-Refers-To", 1).alias("refers_to"),
         F.coalesce(get("WARC-Segment-Total-Length"), get("X-Payload-Length")).cast("long").alias("payload_bytes"),
         F.substring_index(get("WARC-Payload-Digest"), ":", -1).alias("payload_digest"),
         F.col("block").cast("binary").alias("bytes"),
@@ -158,22 +167,23 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (record_id, chunk): digest and length of each record, one chunk in memory at a time."""
+    """Of rows sorted by (record_id, row, chunk): digest and length of each record, one chunk in memory at a time."""
     now, sha, n, head = None, None, 0, ""
     for batch in batches:
         out = []
-        for record, chunk, data, digest in zip(*batch.columns, strict=True):
-            if record.as_py() != now or chunk.as_py() == 0:
+        for record, row, data, digest in zip(*batch.columns, strict=True):
+            key = (record.as_py(), row.as_py())
+            if key != now:
                 if now is not None:
-                    out.append((now, n, sha.hexdigest(), head))
-                now, sha, n, head = record.as_py(), hashlib.sha1(), 0, ""
+                    out.append((now[0], n, sha.hexdigest(), head))
+                now, sha, n, head = key, hashlib.sha1(), 0, ""
             part = data.as_buffer()
             sha.update(part)
             n += len(part)
             head = digest.as_py() or head
         yield _totals(out)
     if now is not None:
-        yield _totals([(now, n, sha.hexdigest(), head)])
+        yield _totals([(now[0], n, sha.hexdigest(), head)])
 
 
 def _totals(rows: list[tuple]) -> pa.RecordBatch:
@@ -196,8 +206,8 @@ def payloads(records: DataFrame) -> DataFrame:
         "refers_to",
         (F.col("intact") & ((F.col("type") == "revisit") | (F.sha1("bytes") == F.col("payload_digest")))).alias("verified"),
     )
-    parts = records.filter("segmented").select("record_id", "chunk", "bytes", "payload_digest")
-    many = parts.repartition("record_id").sortWithinPartitions("record_id", "chunk").mapInArrow(_joined, "record_id long, payload_bytes long, payload_digest string, headed string")
+    parts = records.filter("segmented").repartition("record_id", "row").sortWithinPartitions("record_id", "row", "chunk")
+    many = parts.select("record_id", "row", "bytes", "payload_digest").mapInArrow(_joined, "record_id long, payload_bytes long, payload_digest string, headed string")
     many = many.select("record_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), (F.col("headed") == F.col("payload_digest")).alias("verified"))
     return whole.unionByName(many)
 
@@ -208,11 +218,15 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     pages has (page_id, url, html); other columns are ignored, page_id names the record. Of records with equal payloads
     (UTF-8 of html; null: empty) of at least REVISIT_FROM bytes, the one with the largest page_id is a response and the
     others revisit it. Returns page_id, payload_bytes, payload_digest, record_type, refers_to, verified. Archives are
-    written below ``path``, or in the shared folder. An empty table gives an empty result; repeated rows are repeated
-    records, of which a segmented one is read by its chunks in order of their writing.
+    written below ``path``, or in the shared folder. An empty table gives an empty result. Repeated rows are repeated
+    records: where a page_id occurs twice, pages are numbered (and so written) first, and the number is part of each
+    record's name. A null page_id counts as the smallest.
     """
     spark = pages.sparkSession
-    chunks = chunk_table(pages)
+    if pages.groupBy("page_id").count().filter("count > 1").isEmpty():
+        chunks = chunk_table(pages)
+    else:
+        chunks = chunk_table(numbered(pages, "page_id", "url", "html"), row="row")
     path = path or scratch_path(spark, "warc")
     write_archive(chunks, revisits(chunks.drop("bytes")), path)
     return payloads(read_archive(spark, path)).withColumnRenamed("record_id", "page_id")

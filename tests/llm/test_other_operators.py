@@ -251,6 +251,20 @@ def test_archive_of_the_table(spark):
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute_pages(rows)
 
 
+def test_archive_of_repeated_and_null_ids(spark):
+    """Repeated segmented rows are read back each by itself; a shared page_id costs no payload; null ids are records."""
+    from telemill.llm.warc import CHUNK, archive_pages
+
+    big, other = "abcdefg\n" * (CHUNK // 4), "z" * (3 * CHUNK)
+    same, alone = "s" * 2000, "t" * 2000
+    rows = [(5, big), (5, big), (5, other), (1, same), (1, alone), (2, same), (2, same), (None, other), (None, same), (None, "n"), (None, None)]
+    pages = spark.createDataFrame([(i, "http://h", h, "d", "c") for i, h in rows], PAGES).repartition(3)
+    got = archive_pages(pages).collect()
+    refers = {(1, same): 2, (None, same): 2, (None, other): 5}
+    want = Counter((i, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if (i, h) in refers else "response", refers.get((i, h))) for i, h in rows)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want and all(r.verified for r in got)
+
+
 def test_empty_archive(spark):
     from telemill.llm.warc import archive_pages
 
