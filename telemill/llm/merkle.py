@@ -1,15 +1,17 @@
 """Document fingerprints: Merkle trees over clauses, paragraphs and sections, made of built-in functions only.
 
 A paragraph is a line; its leaves are its clauses (up to a word that ends with ``. ! ? ; , :``), at most four words each. A section is a run of
-paragraphs that ends where a paragraph's digest says so, so an insertion moves no later border. A node's digest is taken
-over its children's, so equal roots mean equal texts, equal branches are skipped, and the differing ones say where an
-edit is. The fingerprint is written as ``root:section|section|...``, a section as its paragraphs joined by ``;`` and a
-paragraph as the digests of its leaves joined by spaces.
+paragraphs that ends where a paragraph's digest says so, so an insertion moves no later border. Leaves have digests of 40
+bits, paragraphs and sections of 64 bits over the digests of their children, the root one over those of the sections and
+one over the text. Equal roots mean equal texts; comparisons leave out the sections that both trees have, then the
+paragraphs, and only look at leaves of what differs. The fingerprint is written as ``root:section|section|...``, a section
+as ``digest=paragraph;paragraph;...`` and a paragraph as its digest and those of its leaves with a space before each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +24,31 @@ BUCKETS, MOST_BUCKETS = 4, 1 << 16
 LEAF = r"(?:\S*[^\s.!?;,:]\s+){0,3}\S+"
 
 
+#: Hex digits of a leaf's digest and of one of a paragraph or section.
+LEAF_DIGITS, NODE_DIGITS = 10, 16
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _digest(value: Column, digits: int) -> Column:
+    return F.substring(F.lpad(F.lower(F.hex(F.xxhash64(value))), 16, "0"), 17 - digits, digits)
+
+
 def fingerprint(text: Column) -> Column:
     """Fingerprint of a text; null counts as empty."""
-    leaf = lambda c: F.substring(F.lower(F.hex(F.xxhash64(c))), -5, 5)
-    clauses = lambda p: F.regexp_extract_all(p, F.lit(LEAF), F.lit(0))
-    # the root covers every byte, leaves are short digests for comparison
-    paragraphs = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda p: F.array_join(F.transform(clauses(p), leaf), " "))
-    tree = F.regexp_replace(F.array_join(paragraphs, ";"), r"(?<=[0-3]);", "|")
-    return F.concat(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 16), F.substring(F.sha2(tree, 256), 1, 16), F.lit(":"), tree)
+    text = F.coalesce(text, F.lit(""))
+    leaf = lambda c: F.concat(F.lit(" "), _digest(c, LEAF_DIGITS))
+    below = F.transform(F.split(text, "\n"), lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), leaf), ""))
+    paragraphs = F.transform(below, lambda p: F.concat(_digest(p, NODE_DIGITS), p))
+    border = lambda p: F.when(F.substring(p, NODE_DIGITS, 1) <= "3", "|").otherwise(";")
+    body = F.rtrim(F.array_join(F.transform(paragraphs, lambda p: F.concat(p, border(p))), ""), F.lit("|;"))
+    # of a section's paragraphs only the digests go into its own
+    tree = F.transform(F.split(body, r"\|"), lambda s: F.concat(_digest(F.regexp_replace(s, " [^;]*", ""), NODE_DIGITS), F.lit("="), s))
+    top = lambda t: F.sha2(F.array_join(F.transform(t, lambda s: F.substring(s, 1, NODE_DIGITS)), ""), 256)
+    return _let(tree, lambda t: F.concat(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), F.substring(top(t), 1, 16), F.lit(":"), F.array_join(t, "|")))
 
 
 def root(mark: Column) -> Column:
@@ -40,22 +59,50 @@ def sections(mark: Column) -> Column:
     return F.split(F.substring_index(mark, ":", -1), r"\|")
 
 
-def leaves(mark: Column) -> Column:
-    return F.split(F.substring_index(mark, ":", -1), r"[|; ]")
+def _below(nodes: Column, between: str) -> Column:
+    """Distinct children of nodes."""
+    inner = F.transform(nodes, lambda s: F.substring(s, NODE_DIGITS + 2, 1 << 30))
+    return F.array_remove(F.array_distinct(F.split(F.array_join(inner, between), between)), "")
+
+
+def _leaf_count(nodes: Column) -> Column:
+    return _let(F.array_join(nodes, ""), lambda x: F.octet_length(x) - F.octet_length(F.translate(x, " ", "")))
+
+
+def _apart(a: Column, b: Column, more: Callable[[Column], Column]) -> Column:
+    """more() of the nodes of arrays a and b that only one has (a, b) and the leaves of those that both have (same)."""
+    parts = F.struct(F.array_except(a, b).alias("a"), F.array_except(b, a).alias("b"), _leaf_count(F.array_intersect(a, b)).alias("same"))
+    return _let(parts, more)
 
 
 def changed_sections(old: Column, new: Column) -> Column:
-    """Numbers (from 0) of sections of ``new`` that ``old`` does not have: where an edit is. None for equal roots."""
-    numbered = F.transform(sections(new), lambda s, k: F.struct(s.alias("s"), k.alias("k")))
-    differing = F.transform(F.filter(numbered, lambda x: ~F.array_contains(sections(old), x.s)), lambda x: x.k)
-    return F.when(root(old) == root(new), F.array().cast("array<int>")).otherwise(differing)
+    """Numbers (from 0) of sections of ``new`` whose digest ``old`` does not have: where an edit is. None for equal roots."""
+    digests = lambda mark: F.transform(sections(mark), lambda s: F.substring(s, 1, NODE_DIGITS))
+    numbered = F.transform(digests(new), lambda s, k: F.struct(s.alias("s"), k.alias("k")))
+    found = _let(F.array_except(digests(new), digests(old)), lambda d: F.transform(F.filter(numbered, lambda x: F.array_contains(d, x.s)), lambda x: x.k))
+    return F.when(root(old) == root(new), F.array().cast("array<int>")).otherwise(found)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of leaves that two fingerprints have in common (Dice, of distinct leaves): 1 for equal roots, below 1 for others."""
-    shared = F.size(F.array_intersect(leaves(a), leaves(b)))
-    both = F.size(F.array_distinct(leaves(a))) + F.size(F.array_distinct(leaves(b)))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.least(2.0 * shared / both, F.lit(0.999999)))
+    """Share of leaves that two fingerprints have in common (Dice): 1 for equal roots, below 1 for others.
+
+    Leaves of a section or paragraph that both have are in common without a look at them; below what differs, distinct
+    leaves are compared. Texts without a leaf differ in white space only.
+    """
+
+    def in_leaves(s: Column, p: Column) -> Column:
+        def dice(x: Column) -> Column:
+            same = s.same + p.same
+            shared, both = same + F.size(F.array_intersect(x.a, x.b)), 2 * same + F.size(x.a) + F.size(x.b)
+            return F.when(both == 0, F.lit(0.999999)).otherwise(F.least(2.0 * shared / F.greatest(both, F.lit(1)), F.lit(0.999999)))
+
+        return _let(F.struct(_below(p.a, " ").alias("a"), _below(p.b, " ").alias("b")), dice)
+
+    def in_paragraphs(s: Column) -> Column:
+        return _apart(_below(s.a, ";"), _below(s.b, ";"), lambda p: in_leaves(s, p))
+
+    differing = _apart(F.array_distinct(sections(a)), F.array_distinct(sections(b)), in_paragraphs)
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(differing)
 
 
 def _edges(docs: DataFrame, buckets: int) -> list[int]:

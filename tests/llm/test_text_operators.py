@@ -155,6 +155,25 @@ def test_edits_are_located(spark):
     assert 1 <= len(r.c) <= 2 and r.none == [] and 0.9 < r.l < 1
 
 
+def test_fingerprints_are_trees(spark):
+    """Every node's digest is over its children's; leaves of many unrelated texts do not meet."""
+    from telemill.llm.merkle import fingerprint, likeness
+
+    rng = random.Random(5)
+    a, b = ("\n".join(" ".join(f"{k}{rng.randrange(10**9)}." for _ in range(20)) for _ in range(600)) for k in "ab")
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(fingerprint(F.col("a")).alias("a"), likeness(fingerprint(F.col("a")), fingerprint(F.col("b"))).alias("l")).first()
+    found = []
+    for s in r.a.split(":")[1].split("|"):
+        digest, inner = s.split("=")
+        paragraphs = [p.split(" ") for p in inner.split(";")]
+        assert all(len(p[0]) == 16 and len(p) == 21 and all(len(x) == 10 for x in p[1:]) for p in paragraphs)
+        # rows: a node's digest and what it is taken over
+        found.append((digest, ";".join(p[0] for p in paragraphs)))
+        found += [(p[0], "".join(f" {x}" for x in p[1:])) for p in paragraphs]
+    wrong = spark.createDataFrame(found, "d string, x string").filter("d <> lpad(lower(hex(xxhash64(x))), 16, '0')")
+    assert wrong.count() == 0 and len(found) > 700 and r.l == 0
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 
