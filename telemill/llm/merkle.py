@@ -133,18 +133,22 @@ def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with fingerprint, next_text and next_mark: text and fingerprint of the next doc_id; after the last comes the first.
 
     Documents are dealt to ranges of doc_id, once; the first document of a range is also sent to the range before as a
-    guest, so each range is a window by itself. Rows that share a doc_id follow each other in the order of their hashes.
+    guest, so each range is a window by itself. Rows that share a doc_id follow each other in the order of their hashes;
+    rows whose doc_id is null come last, as one range more.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = _edges(docs, min(MOST_BUCKETS, BUCKETS * partitions))
-    if not edges:
+    least = docs.filter("doc_id IS NULL").agg(F.min(F.xxhash64("text")).alias("tie")).first()["tie"]  # of rows without an id
+    if not edges and least is None:
         return docs.select("doc_id", "text", F.lit("").alias("fingerprint"), F.lit("").alias("next_text"), F.lit("").alias("next_mark"))
-    here = docs.withColumn("bucket", _bucket(edges))
-    before = F.pmod(F.col("bucket") - 1, F.lit(len(edges)))
+    none = F.col("doc_id").isNull()
+    here = docs.withColumn("bucket", F.when(none, F.lit(len(edges))).otherwise(_bucket(edges)) if edges else F.lit(0))
+    before = F.pmod(F.col("bucket") - 1, F.lit(len(edges) + (least is not None)))
     homes = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")))
-    starts = _bucket_start(edges)
-    first = starts == F.col("doc_id")
+    first = F.when(none, F.xxhash64("text") == F.lit(least).cast("long"))
+    if edges:
+        first = first.otherwise(_bucket_start(edges) == F.col("doc_id"))
     homes = F.when(first, F.concat(homes, F.array(F.struct(before.alias("b"), F.lit(1).alias("guest"))))).otherwise(homes)
     dealt = here.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"))
     dealt = dealt.repartition("bucket").withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("tie", F.xxhash64("text"))
@@ -158,7 +162,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     docs has (doc_id, text); other columns are ignored, a null text is empty. The edited text has its last floor(n/2)
     code points replaced by the first as many (or all) of the next document, by ascending doc_id (after the last: the
-    first). Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (likeness
+    first; rows whose doc_id is null come after the last, in the order of their hashes). Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (likeness
     to the edited text and to the next document). A table of one document is its own next; an empty table gives an
     empty result; repeated rows follow each other.
     """

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import blocks, mix, only_ids, runs, ship, strings, words
+from telemill.llm.shared import blocks, mix, numbered, only_ids, runs, ship, strings, words
 from telemill.plans.storage import store
 
 WINDOW = 35
@@ -230,18 +230,21 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     a window of 35 words over it occurs anywhere else, in the same document too, as the input stands. Returns one row
     per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept (those words;
     null where nothing was removed). Null, empty and shorter texts lose nothing; rows with equal texts lose all of
-    them; an empty table gives an empty result. doc_id identifies a document: of rows that share one, texts must be equal.
+    them; an empty table gives an empty result. Rows are told apart by numbers of their own, so those that share a doc_id
+    or have none are treated like others.
     """
+    rows = numbered(docs, F.col("doc_id").cast("long").alias("own_id"), "text")
+    docs = rows.select(F.col("row").alias("doc_id"), "text")
     sketch, classes = _sketched(docs)
     spans = store(repeated_spans(docs, sketch, classes), "spans")
     ids = spans.select("doc_id")
     texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count())
     cut = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_removed long, kept string")
     copies = classes.filter("copies > 1").select("d1", "d2", "n_words", F.lit(True).alias("copied"))
-    out = sketch.select("doc_id", "n_words", "d1", "d2", "sha").join(copies, ["d1", "d2", "n_words"], "left").join(cut.dropDuplicates(["doc_id"]), "doc_id", "left")
+    out = sketch.select("doc_id", "n_words", "d1", "d2", "sha").join(copies, ["d1", "d2", "n_words"], "left").join(cut, "doc_id", "left").join(rows.select(F.col("row").alias("doc_id"), "own_id"), "doc_id")
     whole = F.col("copied").isNotNull()
     return out.select(
-        "doc_id",
+        F.col("own_id").alias("doc_id"),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(_EMPTY)).when(F.col("kept").isNotNull(), F.sha2(F.col("kept").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"),

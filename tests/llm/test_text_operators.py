@@ -297,3 +297,29 @@ def test_repeats_with_hot_anchors(spark, documents, monkeypatch):
     texts = with_passages(random.Random(8))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.drop_repeats(documents(texts)).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
+
+
+# --- ids that are null or repeated -----------------------------------------------------------------------------------
+
+
+def test_rows_without_an_id(spark):
+    """Null and repeated doc_ids beside others: op3 puts nulls last, op4 and op9 treat their rows like others."""
+    from telemill.llm.merkle import fingerprints
+    from telemill.llm.minhash import near_duplicates
+    from telemill.llm.repeats import drop_repeats
+
+    rng = random.Random(31)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(90)] for _ in range(3))
+    texts = [" ".join(x) for x in (a, [*a[:-1], "changed"], b, [*b[:-1], "changed"], c)]
+    ids = [None, 4, 4, None, 9]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    marks = fingerprints(docs).collect()
+    assert sorted(r.doc_id or 0 for r in marks) == [0, 0, 4, 4, 9]
+    half = {i: len(t) // 2 for i, t in enumerate(texts)}
+    after = {hashlib.sha256((texts[4][: len(texts[4]) - half[4]] + texts[k][: half[4]]).encode()).hexdigest() for k in (0, 3)}
+    assert next(r.edited_sha256 for r in marks if r.doc_id == 9) in after  # the next of the last id is one of the nulls
+    near = sorted((r.doc_id or 0, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    assert near == [(0, 4, False), (0, 4, False), (4, 4, True), (4, 4, True), (9, 9, True)]
+    assert fingerprints(docs.filter("doc_id IS NULL")).count() == 2
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in drop_repeats(docs).collect())
+    assert got == Counter((i, *w) for i, w in zip(ids, brute_repeats(texts), strict=True))
