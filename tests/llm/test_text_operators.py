@@ -55,15 +55,23 @@ def test_bpe_round_trip_and_empty(spark, documents):
     assert bpe.token_digests(documents([]), path, pattern).count() == 0
 
 
-def test_bpe_memo_forgets(monkeypatch):
+@pytest.mark.parametrize("memo, laid, together", [(1, 1, 1), (2000, 40, 300), (96 << 20, 1 << 17, 1 << 19)])
+def test_bpe_queue_over_many_pre_tokens(monkeypatch, memo, laid, together):
+    """Whatever is remembered and merged together, ids are the library's; long pre-tokens too."""
     from telemill.llm import bpe
 
-    path, _, enc = tiktoken_encoder()
-    monkeypatch.setattr(bpe, "MEMO", 3)
-    memo = bpe._Memo(bpe.parse_ranks(open(path, "rb").read()))
-    for w in ["alpha", "beta", "gamma", "delta", "alpha", "epsilon", "beta"] * 3:
-        assert np.frombuffer(memo[w], "<u4").tolist() == enc.encode_ordinary(w)
-    assert len(memo) <= 3
+    path, pattern, enc = tiktoken_encoder()
+    for name, value in (("MEMO", memo), ("LAID", laid), ("TOGETHER", together)):
+        monkeypatch.setattr(bpe, name, value)
+    rng = random.Random(3)
+    codec = bpe.Codec(open(path, "rb").read(), pattern)
+    texts = [w for w in ["alpha", "beta", "gamma", "delta", "alpha", "", "epsilon", "beta"] * 3]
+    texts += ["".join(rng.choice("theinrasoldu") for _ in range(3000)), "ab" * 500 + "a", "\n \n" * 50]
+    texts += ["".join(rng.choice("abcde'é ñ\U0001f600\n\t0123.,!") for _ in range(rng.randrange(400))) for _ in range(40)]
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
+        assert got == [enc.encode_ordinary(t) for t in texts]
+    assert codec.held <= max(memo, 100_000)
 
 
 # --- op2 -------------------------------------------------------------------------------------------------------------
