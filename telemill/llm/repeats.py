@@ -3,11 +3,13 @@
 1. Each window of WINDOW words is anchored at the smallest hash of its PHRASE-word phrases, so equal windows have equal
    anchors, and one phrase in about fourteen is an anchor. Anchors are counted over distinct documents; a document of
    which there is an exact copy repeats as a whole and is only kept as evidence for others.
-2. Documents with a recurring anchor send the stretch of words around it; windows are counted by hash (partial
-   counts first) and those that occur twice or more are the confirmed passages.
-3. Stretches and confirmed windows meet in shards by anchor; an anchor with many occurrences is dealt over several
-   shards, and its passages go to each of them. A shard compiles its passages into one Aho-Corasick automaton over
-   word numbers and streams its stretches through it; the matches are the spans to remove.
+2. Every document with a recurring anchor gives the stretch of words around it; no other words can be in a repeated
+   window. Windows are counted by anchor and hash, 128 bits together (partial counts first). One occurrence of each
+   window that is there twice or more gives its words: the confirmed passages.
+3. Passages and stretches meet in shards by anchor; an anchor with many occurrences is dealt over several shards, and
+   its passages go to each of them. A shard compiles the windows of its passages into one Aho-Corasick automaton over
+   words and streams all its stretches through it. What the automaton matches, word by word, is removed; neither hashes
+   nor places of windows are known there, but for those of the one occurrence that the words were taken from.
 
 Every step is linear in the words of the corpus and no step gathers the occurrences of one passage.
 """
@@ -28,7 +30,7 @@ from telemill.plans.storage import store
 WINDOW = 35
 PHRASE = 8
 #: Stretches of one anchor that go to one shard, and stretches in a shard.
-HOT, SHARD = 500, 8_000
+HOT, SHARD = 500, 4_000
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -78,13 +80,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text, anchors: recurring ones, counts): the words of the windows of each such anchor."""
+    """Of (doc_id, text, anchors: recurring ones, counts): the words of the windows of each such anchor, and hashes of these windows."""
     for batch in batches:
         data, offsets = strings(batch.column(1))
         for i, j in blocks(offsets):
-            _, _, h, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower=False)
+            part = data[offsets[i] : offsets[j]]
+            word, after, h, at = words(part, offsets[i : j + 1] - offsets[i], lower=False)
             hashed, doc, lo, hi = anchors(h, at)
-            begin, ids = np.searchsorted(doc, np.arange(j - i + 1)), (h >> np.uint64(32)).astype(np.uint32)
+            window, raw = runs(h, WINDOW).view(np.int64), part.tobytes()
+            begin = np.searchsorted(doc, np.arange(j - i + 1))
             pick, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(j - i):
                 known, times = (batch.column(c)[i + k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
@@ -95,80 +99,59 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pick.append(begin[k] + found)
                 count.append(times[order][at_known[found]])
             pick, count = np.concatenate(pick), np.concatenate(count)
-            whose = doc[pick]
+            whose, lo, hi = doc[pick], lo[pick], hi[pick]
+            texts = [raw[a:b] for a, b in zip(word[lo].tolist(), after[hi + WINDOW - 1].tolist(), strict=True)]
+            bounds = pa.array(np.concatenate([[0], np.cumsum(hi - lo + 1)]), pa.int32())
+            every = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo + 1)[:-1]]), hi - lo + 1) + np.arange(int((hi - lo + 1).sum())) if len(lo) else lo
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashed[pick].view(np.int64)), pa.array(count, pa.int64()), batch.column(0)[i:j].take(pa.array(whose)), pa.array(lo[pick] - at[whose]), pa.array([ids[a : b + WINDOW].tobytes() for a, b in zip(lo[pick], hi[pick], strict=True)], pa.binary())],
-                ["anchor", "m", "doc_id", "start", "ids"],
+                [pa.array(hashed[pick].view(np.int64)), pa.array(count, pa.int64()), batch.column(0)[i:j].take(pa.array(whose)), pa.array(lo - at[whose]), pa.array(texts, pa.binary()), pa.ListArray.from_arrays(bounds, pa.array(window[every]))],
+                ["anchor", "m", "doc_id", "start", "words", "windows"],
             )
 
 
-def _windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of stretches, hashes of their windows, and each stretch's first window; a stretch has WINDOW - 1 words more than windows."""
-    raw = column.to_pylist()
-    sizes = np.array([len(x) // 4 for x in raw], np.int64)
-    ids = np.frombuffer(b"".join(raw), np.uint32)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    h = runs(mix(ids.astype(np.uint64)), WINDOW)
-    inside = np.ones(len(ids), bool)
-    for k in range(WINDOW - 1):
-        inside[first[1:] - 1 - k] = False
-    return ids, h[inside[: len(h)]], np.concatenate([[0], np.cumsum(sizes - WINDOW + 1)])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (anchor, m, words, at: numbers of windows): the words of each run of these windows."""
     for batch in batches:
-        for a in range(0, batch.num_rows, 10_000):
-            part = batch.slice(a, 10_000)
-            _, h, first = _windows(part.column(2))
-            row = pa.array(np.repeat(np.arange(part.num_rows), np.diff(first)))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(h.view(np.int64))], ["anchor", "m", "window"])
-
-
-def _locate(stretches: pa.Table, confirmed: pa.Table) -> pa.Table:
-    """Spans (doc_id, start, end) of stretches that the automaton of the confirmed windows' passages matches."""
+        anchor, m, out = [], [], []
+        for k, (text, at) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            own, at = text.as_py().split(), np.unique(at.values.to_numpy())
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                anchor.append(k)
+                m.append(k)
+                out.append(b" ".join(own[run[0] : run[-1] + WINDOW]))
+        take = pa.array(anchor, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(out, pa.binary())], ["anchor", "m", "passage"])
+
+
+def _locate(stretches: pa.Table, passages: pa.Table) -> pa.Table:
+    """Spans (doc_id, start, end) of stretches that the automaton of the passages' windows matches."""
     import ahocorasick
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-    if not stretches.num_rows or not confirmed.num_rows:
-        return schema.empty_table()
-    stretches = stretches.combine_chunks()
-    ids, h, first = _windows(stretches.column("ids").combine_chunks())
-    known = np.isin(h.view(np.int64), confirmed.column("window").to_numpy())
-    numbers = ids.tolist()
-    automaton, seen = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), set()
-    begins = first + (WINDOW - 1) * np.arange(len(first))  # of words
-    step = np.diff(np.concatenate([[0], known.astype(np.int8), [0]]))
-    whose = np.searchsorted(first, np.arange(len(h)), "right") - 1
-    runs_of = []
-    for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-        while a < b:  # a run of windows ends with its stretch
-            c = min(b, first[whose[a] + 1])
-            runs_of.append((whose[a], begins[whose[a]] + a - first[whose[a]], c - a + WINDOW - 1))
-            a = c
-    for _, word, n in runs_of:
-        key = ids[word : word + n].tobytes()
-        if key not in seen:
-            seen.add(key)
-            automaton.add_word(tuple(numbers[word : word + n]), int(n))
-    if not seen:
+    if not stretches.num_rows or not passages.num_rows:
         return schema.empty_table()
+    number: dict[bytes, int] = {}
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for passage in set(passages.column("passage").to_pylist()):
+        own = tuple([number.setdefault(w, len(number) + 1) for w in passage.split()])
+        for a in range(len(own) - WINDOW + 1):
+            automaton.add_word(own[a : a + WINDOW])
     automaton.make_automaton()
     rows, starts, ends = [], [], []
-    offset = stretches.column("start").to_numpy()
-    for k in sorted({int(x[0]) for x in runs_of}):
+    get = number.get
+    for k, text in enumerate(stretches.column("words")):
         low = high = -1
-        for end, n in automaton.iter(tuple(numbers[begins[k] : begins[k + 1]])):
-            a, b = end - n + 1, end + 1
-            if a <= high:
-                low, high = min(low, a), b
-            else:
+        for end, _ in automaton.iter(tuple([get(w, 0) for w in text.as_py().split()])):
+            if end - WINDOW + 1 > high:  # a new span; matches of one length come from left to right
                 if high > 0:
                     rows.append(k), starts.append(low), ends.append(high)
-                low, high = a, b
-        rows.append(k), starts.append(low), ends.append(high)
-    rows = np.array(rows)
-    docs = stretches.column("doc_id").to_numpy()[rows]
-    return pa.table({"doc_id": docs, "start": offset[rows] + np.array(starts), "end": offset[rows] + np.array(ends)}, schema)
+                low = end - WINDOW + 1
+            high = end + 1
+        if high > 0:
+            rows.append(k), starts.append(low), ends.append(high)
+    rows = np.array(rows, np.int64)
+    docs, offset = (stretches.column(c).to_numpy()[rows] for c in ("doc_id", "start"))
+    return pa.table({"doc_id": docs, "start": offset + np.array(starts, np.int64), "end": offset + np.array(ends, np.int64)}, schema)
 
 
 def covered(spans: list[dict], n: int) -> np.ndarray:
@@ -202,15 +185,18 @@ def repeated_spans(docs: DataFrame, sketch: DataFrame, copied: DataFrame) -> Dat
     marks = store(marks, "marks")
     ids = marks.select("doc_id")
     texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count())
-    stretches = texts.join(marks, "doc_id").select("doc_id", "text", "anchors", "counts").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, ids binary")
+    stretches = texts.join(marks, "doc_id").select("doc_id", "text", "anchors", "counts").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, words binary, windows array<long>")
     stretches = store(stretches, "stretches")
-    counted = stretches.select("anchor", "m", "ids").mapInArrow(_counted, "anchor long, m long, window long")
-    confirmed = counted.groupBy("window").agg(F.count("*").alias("times"), F.first("anchor").alias("anchor"), F.max("m").alias("m")).filter("times > 1")
+    counted = stretches.select("anchor", "doc_id", "start", F.posexplode("windows").alias("at", "window"))
+    counted = counted.groupBy("anchor", "window").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "at")).alias("one")).filter("times > 1")
+    ones = counted.groupBy("one.doc_id", "one.start").agg(F.collect_list("one.at").alias("at"))  # a stretch has at most WINDOW - PHRASE + 1 windows
+    chosen = stretches.select("anchor", "m", "doc_id", "start", "words").join(ones, ["doc_id", "start"])
+    passages = store(chosen.select("anchor", "m", "words", "at").mapInArrow(_passages, "anchor long, m long, passage binary"), "passages")
     shards = max(1, -(-stretches.count() // SHARD))
     salts = F.ceil(F.col("m") / F.lit(HOT)).cast("int")
     shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
-    left = stretches.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).select("doc_id", "start", "ids", shard)
-    right = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("window", shard)
+    left = stretches.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), salts).cast("int")).select("doc_id", "start", "words", shard)
+    right = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("passage", shard)
     found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_locate, "doc_id long, start long, end long")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
