@@ -49,6 +49,48 @@ def test_toxicity_without_two_classes(spark, documents, label):
     assert score(documents([]), model).count() == 0
 
 
+def test_ratios_and_cut_against_brute_force():
+    from telemill.llm.toxicity import PRIOR, best_cut, log_ratios
+
+    rng = np.random.default_rng(4)
+    toxic, other = rng.integers(0, 40, 50), rng.integers(0, 90, 50)
+    got = log_ratios(toxic, other, 40, 90)
+    for t, o, r in zip(toxic, other, got, strict=True):
+        a, b = PRIOR * 40 / 130, PRIOR * 90 / 130
+        assert abs(r - (np.log((t + a) / (40 + a)) - np.log((o + b) / (90 + b)))) < 1e-12
+    assert (got > 0).any() and (got < 0).any() and abs(log_ratios(np.array([0]), np.array([0]), 40, 90)[0]) < 1e-12
+    for _ in range(50):
+        z, y = rng.integers(0, 12, 30) / 2, rng.integers(0, 2, 30)
+        y[0] = 1
+        f1 = lambda cut: 2 * y[z >= cut].sum() / ((z >= cut).sum() + y.sum())  # noqa: E731, B023
+        assert abs(f1(best_cut(z, y)) - max(f1(c) for c in set(z.tolist()))) < 1e-12
+
+
+def test_toxicity_of_the_table(spark):
+    """Held-out rows of the table: the labels hold some noise, so neither figure can reach 1."""
+    from telemill.llm.queries import op7_toxicity
+
+    sf = SF.replace("0.001", "0.1")
+    rows = op7_toxicity(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    hit = sum(r.predicted and r.toxic for r in rows)
+    assert hit >= 0.75 * sum(r.toxic for r in rows) and hit >= 0.75 * sum(r.predicted for r in rows)
+
+
+def test_minimum_is_found():
+    from telemill.llm.toxicity import minimum
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(80, 6)), np.where(rng.random(80) < 0.5, 1.0, -1.0)
+    x[:, -1] = 1
+
+    def f(w):
+        m = y * (x @ w)
+        return np.logaddexp(0, -m).sum() + w @ w / 2, -(y / (1 + np.exp(m))) @ x + w
+
+    w = minimum(f, np.zeros(6), 40)
+    assert np.abs(f(w)[1]).max() < 1e-2 and all(f(w)[0] <= f(w + d)[0] + 1e-6 for d in rng.normal(size=(50, 6)) * 0.1)
+
+
 def test_ngrams_in_pieces(monkeypatch):
     from telemill.llm import toxicity
 
