@@ -10,15 +10,15 @@ as ``digest=paragraph;paragraph;...`` and a paragraph as its digest and those of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets of neighbouring documents for each shuffle partition, and in all.
-BUCKETS, MOST_BUCKETS = 4, 1 << 16
+from telemill.plans.storage import store
 
+#: Ranges of neighbouring documents for each shuffle partition.
+RANGES = 4
 
 #: A leaf: up to four words, the last of which alone may end a clause.
 LEAF = r"(?:\S*[^\s.!?;,:]\s+){0,3}\S+"
@@ -105,54 +105,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(root(a) == root(b), F.lit(1.0)).otherwise(differing)
 
 
-def _edges(docs: DataFrame, buckets: int) -> list[int]:
-    """First doc_ids of ranges of about equal count, ascending and distinct; the first is the smallest."""
-    share = [k / buckets for k in range(buckets)]
-    found = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", share, max(10_000, 10 * buckets)).alias("at")).first()
-    return [] if found["low"] is None else sorted({found["low"], *(x for x in found["at"] if x is not None)})
+def _edges(docs: DataFrame, ranges: int) -> DataFrame:
+    """One row: ``groups``, the first doc_ids of ranges of about equal count in groups of ``wide``, and ``none``, ranges for rows without an id.
+
+    A doc_id that holds several ranges' share of the rows is there as often. The table is written; nothing is collected.
+    """
+    share = F.array(*[F.lit(k / ranges) for k in range(ranges)]) if ranges <= 100 else F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda k: k / F.lit(ranges))
+    found = docs.agg(F.percentile_approx("doc_id", share, F.lit(max(10_000, 10 * ranges))).alias("at"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("n"), F.count("*").alias("all"))
+    edges = F.when(F.col("low").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_sort(F.concat(F.array("low"), F.slice(F.col("at").cast("array<bigint>"), 2, ranges))))
+    none = F.ceil(F.col("n") * F.lit(ranges) / F.greatest("all", F.lit(1))).cast("int")
+    found = found.select(edges.alias("edges"), none.alias("none")).withColumn("wide", F.greatest(F.ceil(F.sqrt(F.size("edges"))), F.lit(1)).cast("int"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("edges") - 1) / F.col("wide")).cast("int")), lambda k: F.slice("edges", k * F.col("wide") + 1, F.col("wide")))
+    return store(found.select(F.when(F.size("edges") > 0, cut).otherwise(F.array().cast("array<array<bigint>>")).alias("groups"), F.size("edges").alias("n_edges"), "wide", "none"), "edges")
 
 
-def _bucket(edges: list[int]) -> Column:
-    """Number of the range that doc_id falls in, by two steps of about sqrt(ranges) comparisons."""
-    width = math.isqrt(len(edges) - 1) + 1
-    groups = [edges[a : a + width] for a in range(0, len(edges), width)]
-    firsts = F.array(*[F.lit(g[0]).cast("long") for g in groups])
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in g]) for g in groups])
-    coarse = F.size(F.filter(firsts, lambda x: x <= F.col("doc_id")))
-    return (coarse - 1) * width + F.size(F.filter(F.element_at(fine, coarse), lambda x: x <= F.col("doc_id"))) - 1
+def _bucket() -> Column:
+    """Number of a row's range. Rows of an id that several ranges begin with, or of none, are dealt to these by ``tie``."""
 
+    def upto(last: Column) -> Column:
+        """How many edges are below (or at, with last) doc_id: by whole groups first."""
+        below = lambda x: F.when(last, x <= F.col("doc_id")).otherwise(x < F.col("doc_id"))
+        coarse = F.size(F.filter("groups", lambda g: below(F.element_at(g, 1))))
+        inside = F.when(coarse > 0, F.size(F.filter(F.try_element_at("groups", F.greatest(coarse, F.lit(1))), below))).otherwise(0)
+        return F.when(coarse > 0, (coarse - 1) * F.col("wide")).otherwise(0) + inside
 
-def _bucket_start(edges: list[int]) -> Column:
-    """The first doc_id of a row's range."""
-    width = math.isqrt(len(edges) - 1) + 1
-    fine = F.array(*[F.array(*[F.lit(x).cast("long") for x in edges[a : a + width]]) for a in range(0, len(edges), width)])
-    return F.element_at(F.element_at(fine, F.floor(F.col("bucket") / width).cast("int") + 1), (F.col("bucket") % width).cast("int") + 1)
+    part = lambda n: F.least(F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * n).cast("int"), n - 1)
+    of = F.struct(upto(F.lit(False)).alias("low"), upto(F.lit(True)).alias("high"))
+    known = _let(of, lambda x: F.when(x.high - x.low > 1, x.low + part(x.high - x.low)).otherwise(x.high - 1))
+    return F.when(F.col("doc_id").isNull(), F.col("n_edges") + part(F.greatest("none", F.lit(1)))).otherwise(known).cast("int")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with fingerprint, next_text and next_mark: text and fingerprint of the next doc_id; after the last comes the first.
 
     Documents are dealt to ranges of doc_id, once; the first document of a range is also sent to the range before as a
-    guest, so each range is a window by itself. Rows that share a doc_id follow each other in the order of their hashes;
-    rows whose doc_id is null come last, as one range more.
+    guest, so each range is a window by itself. Rows that share a doc_id follow each other in the order of their hashes
+    and are spread over ranges by them where they are many; so are rows whose doc_id is null, which come last.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = _edges(docs, min(MOST_BUCKETS, BUCKETS * partitions))
-    least = docs.filter("doc_id IS NULL").agg(F.min(F.xxhash64("text")).alias("tie")).first()["tie"]  # of rows without an id
-    if not edges and least is None:
-        return docs.select("doc_id", "text", F.lit("").alias("fingerprint"), F.lit("").alias("next_text"), F.lit("").alias("next_mark"))
-    none = F.col("doc_id").isNull()
-    here = docs.withColumn("bucket", F.when(none, F.lit(len(edges))).otherwise(_bucket(edges)) if edges else F.lit(0))
-    before = F.pmod(F.col("bucket") - 1, F.lit(len(edges) + (least is not None)))
-    homes = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")))
-    first = F.when(none, F.xxhash64("text") == F.lit(least).cast("long"))
-    if edges:
-        first = first.otherwise(_bucket_start(edges) == F.col("doc_id"))
-    homes = F.when(first, F.concat(homes, F.array(F.struct(before.alias("b"), F.lit(1).alias("guest"))))).otherwise(homes)
-    dealt = here.select("doc_id", "text", F.explode(homes).alias("home")).select("doc_id", "text", F.col("home.b").alias("bucket"), F.col("home.guest").alias("guest"))
-    dealt = dealt.repartition("bucket").withColumn("fingerprint", fingerprint(F.col("text"))).withColumn("tie", F.xxhash64("text"))
-    ahead = Window.partitionBy("bucket").orderBy("guest", "doc_id", "tie")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = F.broadcast(_edges(docs, RANGES * partitions))  # one row, of RANGES numbers for each partition
+    here = docs.withColumn("tie", F.xxhash64("text")).join(edges, how="cross").withColumn("bucket", _bucket()).select("doc_id", "text", "tie", "bucket")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    first = here.groupBy("bucket").agg(F.min(key).alias("first"))  # a row for each range and task, without texts
+    ahead = Window.partitionBy(F.lit(0)).orderBy("bucket")  # over the list of ranges
+    before = F.coalesce(F.lag("bucket").over(ahead), F.max("bucket").over(Window.partitionBy(F.lit(0))))
+    first = store(first.withColumn("home", before), "first").withColumnRenamed("bucket", "own")
+    same = (F.col("bucket") == F.col("own")) & F.col("first").eqNullSafe(key)
+    guests = here.join(F.broadcast(first), same).groupBy("home").agg(F.first("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("tie"), F.col("home").alias("bucket"), F.lit(1).alias("guest"))
+    dealt = here.withColumn("guest", F.lit(0)).unionByName(guests).repartition("bucket").withColumn("fingerprint", fingerprint(F.col("text")))
+    ahead = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_last(), "tie")
     found = dealt.select("doc_id", "text", "guest", "fingerprint", F.lead("text").over(ahead).alias("next_text"), F.lead("fingerprint").over(ahead).alias("next_mark"))
     return found.filter("guest = 0").drop("guest")
 

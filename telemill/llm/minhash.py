@@ -6,12 +6,15 @@ child is named by the path, the coordinate and the document's minwise token ther
 exhaustively, large ones with one of their documents, and branch again unless links have joined all their documents by
 then, so a group of near copies costs about one comparison a document and not one a pair. From the second level on
 nodes hold documents that are alike in several tokens; up to a size their full sets are compared exactly, larger ones
-go on branching, and the last level compares what is left in blocks. TREES independent
-trees take the recall of one pair at the threshold to 1 - (1 - threshold)**(TREES / threshold).
+go on branching, and the last level compares what is left in blocks. A pair at the threshold shares one child on average
+at the first level and FANOUT at every other (a Poisson number), so it survives to any depth with a probability that
+survival() gives, and the number of independent trees is what RECALL asks for at the last level; a pair that is more
+alike, or that others link, is missed less often.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import blocks, mix, numbered, only_ids, runs, ship, strings, words
+from telemill.llm.shared import BROADCAST_IDS, blocks, mix, numbered, only_ids, runs, ship, strings, words
 from telemill.operators.components import connected_components
 from telemill.plans.storage import store
 
 SHINGLE = 5
 COORDINATES = 64
-TREES = 12
+#: Probability that a pair at the threshold, which no other document links, meets in some tree, whatever the depth.
+RECALL = 0.999
+#: Children that a pair at the threshold shares on average below the first level; above 1, so that survival has a bound.
+FANOUT = 1.5
 #: Documents of a node up to which all its pairs are compared.
 SMALL = 16
 #: Documents of a node up to which, from the second level on, full sets are compared, all with all.
@@ -34,12 +40,26 @@ MEDIUM = 4096
 LEVELS = 6
 #: Documents and shingles in a block; a task compares two blocks.
 BLOCK = (1024, 500_000)
-#: Minwise tokens that must agree before the full sets are compared; at 0.75 a pair misses it by over 4 deviations.
-ESTIMATE = 0.55
+#: Share of minwise tokens that must agree before the full sets are compared, for a threshold of 0.75 and in proportion
+#: for others. A pair at 0.75 has fewer with a probability of 2e-12 (binomial), below that of meeting 64-bit hashes.
+ESTIMATE = 0.34
 
 _ODD = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def survival(levels: int) -> float:
+    """Probability that a pair at the threshold shares a node of one tree at that level (the first is 1)."""
+    alive = 1.0
+    for level in reversed(range(levels)):
+        alive = 1 - math.exp(-(1.0 if level == 0 else FANOUT) * alive)
+    return alive
+
+
+def trees(recall: float, levels: int) -> int:
+    """Trees that a pair at the threshold needs to be met with that probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """For each document the sorted distinct hashes of its SHINGLE-word shingles, ASCII lower-cased, and its number of words."""
     _, _, h, at = words(data, offsets, lower=True)
@@ -73,8 +93,8 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text", F.col("doc_id").cast("long")).mapInArrow(_sketch, "row long, doc_id long, n_words long, n_shingles long, d1 long, d2 long, sign binary")
 
 
-def _branch(threshold: float):
-    limit = np.uint64(int(2.0**64 / (threshold * COORDINATES)))
+def _branch(share: float):
+    limit = np.uint64(min(int(2.0**64 * share), (1 << 64) - 1))
     steps = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +111,13 @@ def _branch(threshold: float):
     return branch
 
 
-def _children(rows: DataFrame, threshold: float) -> DataFrame:
-    return rows.mapInArrow(_branch(threshold), "rep long, path long")
+def _children(rows: DataFrame, threshold: float, fanout: float) -> DataFrame:
+    return rows.mapInArrow(_branch(fanout / (threshold * COORDINATES)), "rep long, path long")
+
+
+def _beside(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it has at most BROADCAST_IDS rows; a larger one is for a shuffle join, which can split a hot key."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -102,14 +127,17 @@ def _nodes(rows: DataFrame) -> DataFrame:
     """
     rows = store(rows, "children")
     node = rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep")).alias("pivot")).filter("n > 1")
-    return rows.join(store(node, "nodes"), "path")
+    return rows.join(_beside(store(node, "nodes")), "path")
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-        keep = pa.array((x == y).mean(1) >= ESTIMATE)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+def _alike(least: float):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
+            keep = pa.array((x == y).mean(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+    return alike
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +166,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     for k in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("rep").alias(k), F.col("sign").alias(f"sign_{k}"), F.col("n_shingles").alias(f"n_{k}")), k)
     pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sign_a", "sign_b")
-    pairs = store(pairs.mapInArrow(_alike, "a long, b long"), "pairs")
+    pairs = store(pairs.mapInArrow(_alike(ESTIMATE * percent / 75), "a long, b long"), "pairs")
     ids = store(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ids")
     sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary")
     full = pairs
@@ -207,7 +235,7 @@ def _compared(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     node = node.select("path", wide.alias("wide"))
     ids = store(large.select(F.col("rep").alias("row")).distinct(), "ids")
     sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary").withColumnRenamed("row", "rep")
-    rows = large.select("path", "rep", "component").join(node, "path").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
+    rows = large.select("path", "rep", "component").join(_beside(store(node, "nodes")), "path").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("wide")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
     rows = rows.select("path", "rep", "component", "tokens", F.explode(pairs).alias("at")).select("path", "at.i", "at.j", "rep", "component", "tokens")
     return rows.groupBy("path", "i", "j").applyInArrow(_exhaust(percent), "a long, b long").distinct()
@@ -216,7 +244,7 @@ def _compared(large: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _mixed(placed: DataFrame) -> DataFrame:
     """Documents of nodes that do not all belong to one component."""
     node = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("path")
-    return placed.join(node, "path", "left_semi")
+    return placed.join(_beside(store(node, "mixed")), "path", "left_semi")
 
 
 def _pivots(members: DataFrame) -> DataFrame:
@@ -227,10 +255,10 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     """Components (id, component) of the rows of docs (row, text) in reps (rep, n_shingles, sign), whose sets are distinct."""
     percent = round(100 * threshold)
     size = reps.select("rep", F.col("n_shingles").alias("size"))
-    roots = mix(np.arange(1, TREES + 1, dtype=np.uint64)).view(np.int64).tolist()
+    roots = mix(np.arange(1, trees(RECALL, LEVELS) + 1, dtype=np.uint64)).view(np.int64).tolist()
     rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
     # first level: every node's pivot, then what is left of small nodes
-    members = store(_nodes(_children(rows, threshold)), "nodes")
+    members = store(_nodes(_children(rows, threshold, 1.0)), "nodes")
     links = _verified(_pivots(members), reps, docs, percent)
     groups = connected_components(links)
     placed = _apart(members, groups)
@@ -243,7 +271,7 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
         if large.isEmpty():
             break
         rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
-        members = store(_mixed(_apart(_nodes(_children(rows, threshold)), groups)).join(size, "rep"), "nodes")
+        members = store(_mixed(_apart(_nodes(_children(rows, threshold, FANOUT)), groups)).join(size, "rep"), "nodes")
         most = MEDIUM if level + 1 < LEVELS else 1 << 62
         found = [_verified(_all_pairs(members.filter(F.col("n") <= SMALL), ["path"], pivots=True).distinct(), reps, docs, percent)]
         found.append(store(_compared(members.filter((F.col("n") > SMALL) & (F.col("n") <= most)), docs, percent), "links"))

@@ -182,6 +182,23 @@ def test_fingerprints_are_trees(spark):
     assert wrong.count() == 0 and len(found) > 700 and r.l == 0
 
 
+def test_next_of_many_rows_without_an_id(spark):
+    """A third of the rows has no id and a third one id: both are spread over ranges, and all rows make one ring."""
+    from telemill.llm.merkle import with_next
+
+    rows = [(k if k % 3 == 0 else (7 if k % 3 == 1 else None), f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = with_next(docs).collect()
+    after = {r.text: r.next_text for r in got}
+    ids = dict((t, i) for i, t in rows)
+    assert len(got) == 300 and len(set(after.values())) == 300
+    walk, seen = "text 0", []
+    for _ in range(300):
+        seen.append(ids[walk])
+        walk = after[walk]
+    assert walk == "text 0" and seen == sorted(seen, key=lambda i: (i is None, i or 0))
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 
