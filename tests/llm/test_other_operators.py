@@ -104,19 +104,41 @@ def test_ngrams_in_pieces(monkeypatch):
 
 
 def brute_pack(items, capacity):
-    """Tightest bin without a conflict, by looking at all of them."""
-    bins = []
-    for n, s, c in items:
+    """Number of each item's bin: the tightest without a conflict, by looking at all of them, the first to reach that residual."""
+    bins, out = [], []
+    for at, (n, s, c) in enumerate(items):
         fit = [b for b in bins if b["rest"] >= n and s not in b["s"] and c not in b["c"]]
-        b = min(fit, key=lambda b: b["rest"]) if fit else None
+        b = min(fit, key=lambda b: (b["rest"], b["at"])) if fit else None
         if b is None:
-            b = {"rest": capacity, "s": set(), "c": set(), "n": []}
+            b = {"k": len(bins), "rest": capacity, "s": set(), "c": set()}
             bins.append(b)
         b["rest"] -= n
-        b["s"].add(s)
-        b["c"].add(c)
-        b["n"].append(n)
-    return sorted(sorted(b["n"]) for b in bins)
+        b["at"] = at
+        b["s"] |= {s} - {None}
+        b["c"] |= {c} - {None}
+        out.append(b["k"])
+    return out
+
+
+def test_packing_against_brute_force(spark):
+    """The operator's bins in one shard and the query's over a table, by a search through all bins."""
+    from telemill.llm.packing import best_fit, pack_documents
+
+    rng = random.Random(17)
+    items = [(k, k // 2, rng.randrange(1, 150), rng.choice(["a", "b", "c", "d", None]), rng.choice([1, 2, 3, 4, 5, None])) for k in range(200)]
+    rows = best_fit(spark.createDataFrame(items, "item long, doc_id long, length long, source string, cluster long"), 64, 10**6).collect()
+    pieces = sorted(((min(64, n - 64 * p), i, k, p, s, c) for k, i, n, s, c in items for p in range(-(-n // 64))), key=lambda x: (-x[0], x[1], x[2], x[3]))
+    want = brute_pack([(n, s, c) for n, _, _, _, s, c in pieces], 64)
+    assert {(r.item, r.piece): r.bin for r in rows} == {(k, p): b for (_, _, k, p, _, _), b in zip(pieces, want, strict=True)}
+
+    # near copies in place of their classes, which other tests hold against brute force
+    texts = [" ".join(f"t{g}w{k}" for k in range(40 + 7 * (g % 9))) + (" end" if c else "") for g in range(40) for c in range(1 + g % 3)]
+    source = [rng.choice(["a", "b", "c", None]) for _ in texts]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, (t, s) in enumerate(zip(texts, source, strict=True))], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    got = {r.doc_id: r for r in pack_documents(docs, 256).collect()}
+    order = sorted(range(len(texts)), key=lambda k: (-len(texts[k].split()), k))
+    want = brute_pack([(len(texts[k].split()), source[k], texts[k].split()[0]) for k in order], 256)
+    assert [got[k].bin for k in order] == want and all(got[k].text == t for k, t in enumerate(texts))
 
 
 def test_bins_are_the_tightest_compatible():
@@ -138,13 +160,14 @@ def test_bins_are_the_tightest_compatible():
 
 
 def test_packing_keeps_every_word(spark, documents):
-    from telemill.llm.packing import best_fit, pack_documents
+    from telemill.llm.packing import best_fit, pack_documents, sequences
 
     texts = [*ODD, *pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()]
     rows = pack_documents(documents(texts, source=lambda k: f"s{k % 9}" if k % 10 else None), capacity=256).collect()
     words = Counter()
     for r in rows:
         words[r.doc_id] += r.length
+        assert r.text == b" ".join(texts[r.doc_id].encode().split()[r.start : r.start + r.length]).decode()
     assert dict(words) == {k: len((t or "").encode().split()) for k, t in enumerate(texts) if (t or "").encode().split()}
     bins = defaultdict(list)
     for r in rows:
@@ -155,7 +178,9 @@ def test_packing_keeps_every_word(spark, documents):
         assert len(sources) == len(set(sources)) and len({texts[r.doc_id].lower() for r in held}) == len(held)
         spans = sorted((r.place, r.place + r.length) for r in held)
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[0][0] == 0
-    assert best_fit(spark.createDataFrame([], "doc_id long, length long, source string, cluster long")).count() == 0
+    whole = {r.bin: r for r in sequences(spark.createDataFrame(rows)).collect()}
+    assert all(whole[k].text == " ".join(r.text for r in sorted(held, key=lambda r: r.place)) and whole[k].length == len(whole[k].text.encode().split()) for k, held in bins.items())
+    assert best_fit(spark.createDataFrame([], "item long, doc_id long, length long, source string, cluster long")).count() == 0
 
 
 def test_near_copies_share_no_sequence(spark, documents):
@@ -165,7 +190,7 @@ def test_near_copies_share_no_sequence(spark, documents):
     rng = random.Random(21)
     texts = []
     for g in range(6):
-        base = [f"g{g}w{rng.randrange(10**6)}é" for _ in range(60)]
+        base = [f"g{g}w{rng.randrange(10**6)}" for _ in range(60)]
         texts += [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (3, 20, 40)] + [" ".join(base).upper()]
     for source in (lambda k: f"s{k}", lambda k: None):
         rows = pack_documents(documents(texts, source=source), capacity=512).collect()
