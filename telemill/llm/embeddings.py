@@ -15,10 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import ship
+from telemill.llm.shared import numbered, ship
 from telemill.operators.components import connected_components
 from telemill.plans.storage import store
 
@@ -147,8 +147,9 @@ def _links(limit: float):
             for v in near[units[near] @ units[q] >= limit].tolist():  # verified
                 if two and block[v] == block[q]:
                     continue  # counted where the block is alone
-                if here == min(homes[v] & homes[q]):
-                    count[q] += weight[v]
+                if here != min(homes[v] & homes[q]):
+                    continue  # counted and joined in the first shard that both have
+                count[q] += weight[v]
                 a, b = q, v
                 while root[a] != a:
                     root[a] = a = root[root[a]]
@@ -199,20 +200,24 @@ def _tasks(dealt: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVERLAP) -> DataFrame:
     """Links of vectors of equal label with cosine at least ``threshold``, in double precision.
 
-    vectors has (vec_id, embedding array of floats of one length, label). Vectors that are null, empty, zero or hold
-    null or infinite components, and those with a null label, link with nothing. Returns one row per vector: vec_id,
+    vectors has (vec_id, embedding array of floats, label). Vectors that are null, empty, zero or hold
+    null or infinite components, and those with a null label, link with nothing; those of different lengths do not link.
+    Returns one row per vector: vec_id,
     n_links (other vectors linked with it), component_id (smallest vec_id that links reach), kept (vec_id =
-    component_id). Equal vectors of a label are one vertex of the graph with its number of copies; all of them link. An
+    component_id). Equal vectors of a label are one vertex of the graph with its number of copies; all of them link. Rows
+    are told apart by numbers of their own: those that repeat a vec_id, or have none, are compared like others, and of a
+    class's rows with its smallest vec_id one is kept (of null ids only if it has no other; its component_id is null). An
     empty table gives an empty result. Leaders are fitted on at most LEADERS * SAMPLED vectors of a label; every
     vector is indexed. Recall is that of the walk and of the shards: see audit().
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("label"))
+    every = numbered(vectors, F.col("vec_id").cast("long").alias("own_id"), "embedding", _label())
+    rows = every.withColumnRenamed("row", "vec_id").select("vec_id", "embedding", "label")
     units = store(rows.filter("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(_units, "vec_id long, unit binary, label string"), "units")
     classes = units.groupBy("label", F.sha2("unit", 256).alias("same")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = store(classes, "same")
-    reps = units.withColumnRenamed("vec_id", "rep").dropDuplicates(["rep"]).join(classes.select("rep", "copies"), "rep").withColumnRenamed("rep", "vec_id")
+    reps = units.withColumnRenamed("vec_id", "rep").join(classes.select("rep", "copies"), "rep").withColumnRenamed("rep", "vec_id")
     most = classes.groupBy("label").agg(F.least(F.ceil(F.count("*") / PER_LEADER), F.lit(LEADERS)).cast("int").alias("most"), F.count("*").alias("all"))
     most = store(most.withColumn("parts", F.ceil(F.col("all") / PART).cast("int")), "labels")
     rows = reps.join(most, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
@@ -233,13 +238,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVE
     count = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
     known = classes.join(count.withColumnRenamed("vec_id", "rep"), "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("label", "same", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
-    own = units.select("vec_id", "label", F.sha2("unit", 256).alias("same")).join(known, ["label", "same"]).select("vec_id", "n", "c").dropDuplicates(["vec_id"])
-    out = rows_of(vectors).join(own, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"), (F.coalesce("c", "vec_id") == F.col("vec_id")).alias("kept"))
+    own = units.select("vec_id", "label", F.sha2("unit", 256).alias("same")).join(known, ["label", "same"]).select(F.col("vec_id").alias("row"), "n", "c")
+    out = store(every.select("row", "own_id").join(own, "row", "left").withColumn("c", F.coalesce("c", "row")), "found")
+    head = F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "row")).alias("head")
+    out = out.join(out.groupBy("c").agg(head), "c")
+    return out.select(F.col("own_id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.col("head.own_id").alias("component_id"), (F.col("head.row") == F.col("row")).alias("kept"))
 
 
-def rows_of(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.col("vec_id").cast("long"))
+def _label() -> Column:
+    """What vectors must have in common to be compared: label and length."""
+    return F.concat(F.size("embedding").cast("string"), F.lit(":"), F.col("label").cast("string")).alias("label")
 
 
 def audit(vectors: DataFrame, found: DataFrame, threshold: float = 0.93, every: int = 50) -> DataFrame:
@@ -248,7 +256,7 @@ def audit(vectors: DataFrame, found: DataFrame, threshold: float = 0.93, every:
     Queries meet the vectors of their label in a join, cosines are taken in blocks of rows; nothing is collected.
     """
     ship(vectors.sparkSession)
-    units = vectors.select(F.col("vec_id").cast("long"), "embedding", F.col("label").cast("string").alias("label")).filter("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(_units, "vec_id long, unit binary, label string")
+    units = vectors.select(F.col("vec_id").cast("long"), "embedding", _label()).filter("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(_units, "vec_id long, unit binary, label string")
     queries = units.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q"), F.col("unit").alias("target"), "label")
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from telemill.llm.warc import archive_pages
 
-    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

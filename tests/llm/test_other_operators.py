@@ -258,6 +258,21 @@ def test_near_vectors(spark, monkeypatch, block):
     assert embeddings.audit(vectors, found, every=5).first().recall >= 0.95
 
 
+def test_vectors_with_odd_ids_and_lengths(spark):
+    """Repeated and null ids are rows like others; vectors of other lengths link with nothing else."""
+    from telemill.llm.embeddings import near_vectors
+
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.normal(size=8).tolist() for _ in range(3))
+    near = lambda v: (np.array(v) + 0.01).tolist()
+    rows = [(1, a), (1, b), (2, near(b)), (0, near(a)), (None, c), (None, near(c)), (5, a[:5]), (6, [*a[:5]]), (7, b)]
+    vectors = spark.createDataFrame([(i, v, 1, "", "") for i, v in rows], VECTORS)
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors).collect())
+    got_null = sorted(k[3] for k in got.elements() if k[0] is None)
+    assert got_null == [False, True] and all(k[1] == 1 and k[2] is None for k in got if k[0] is None)
+    assert Counter(k for k in got.elements() if k[0] is not None) == Counter([(1, 1, 0, False), (0, 1, 0, True), (1, 2, 1, True), (2, 2, 1, False), (7, 2, 1, False), (5, 1, 5, True), (6, 1, 5, False)])
+
+
 def test_no_vectors(spark):
     from telemill.llm.embeddings import near_vectors
 
@@ -315,7 +330,7 @@ def test_archive_of_the_table(spark):
 
     rows = [(r["page_id"], r["url"], r["html"]) for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()]
     got = queries.queries()["op10_warc"](spark, SF).collect()
-    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute_pages(rows)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == brute_pages(rows) and all(r.verified for r in got)
 
 
 def test_archive_of_repeated_and_null_ids(spark):
