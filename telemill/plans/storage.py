@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a temporary one for this session."""
+    """The folder named in spark.checkpoint.dir; where it is unset in local mode (tests), a temporary one for this session."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -23,8 +26,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back, so later steps never recompute it."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
+def store(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder (at a new path, or at ``path``) and read it back, so later steps never recompute it."""
+    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that store() wrote and that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
