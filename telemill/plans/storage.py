@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +29,40 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Write df once as Parquet in the shared folder (at a new path, or at ``path``) and read it back, so later steps never recompute it."""
-    spark, path = df.sparkSession, path or scratch_path(df.sparkSession, tag)
+_OPEN = threading.local()
+
+
+def store(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back, so later steps never recompute it; see scope()."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, tag)
+    for paths in getattr(_OPEN, "scopes", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored inside are deleted at the end, but for those given to the function that this yields.
+
+    These belong to the scope around this one, if there is any. Nothing that outlives the scope may read others.
+    """
+    _OPEN.scopes = [*getattr(_OPEN, "scopes", []), []]
+    kept = []
 
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.stored_at)
+        return df
 
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that store() wrote and that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    try:
+        yield keep
+    finally:
+        paths = _OPEN.scopes.pop()
+        for paths_around in _OPEN.scopes[-1:]:
+            paths_around.extend(p for p in paths if p in kept)
+        for path in paths:
+            if path not in kept:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
