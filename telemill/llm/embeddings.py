@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import numbered, ship
+from telemill.llm.shared import ship, told_apart
 from telemill.operators.components import connected_components
 from telemill.plans.storage import store
 
@@ -205,14 +205,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVE
     Returns one row per vector: vec_id,
     n_links (other vectors linked with it), component_id (smallest vec_id that links reach), kept (vec_id =
     component_id). Equal vectors of a label are one vertex of the graph with its number of copies; all of them link. Rows
-    are told apart by numbers of their own: those that repeat a vec_id, or have none, are compared like others, and of a
+    that repeat a vec_id, or have none, are told apart by numbers and compared like others, and of a
     class's rows with its smallest vec_id one is kept (of null ids only if it has no other; its component_id is null). An
     empty table gives an empty result. Leaders are fitted on at most LEADERS * SAMPLED vectors of a label; every
     vector is indexed. Recall is that of the walk and of the shards: see audit().
     """
     spark = vectors.sparkSession
     ship(spark)
-    every = numbered(vectors, F.col("vec_id").cast("long").alias("own_id"), "embedding", _label())
+    every = told_apart(vectors, "vec_id", "embedding", _label())
     rows = every.withColumnRenamed("row", "vec_id").select("vec_id", "embedding", "label")
     units = store(rows.filter("label IS NOT NULL AND embedding IS NOT NULL").mapInArrow(_units, "vec_id long, unit binary, label string"), "units")
     classes = units.groupBy("label", F.sha2("unit", 256).alias("same")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

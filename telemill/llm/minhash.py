@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import BROADCAST_IDS, blocks, mix, numbered, only_ids, runs, ship, strings, words
+from telemill.llm.shared import BROADCAST_IDS, blocks, mix, only_ids, runs, ship, strings, told_apart, words
 from telemill.operators.components import connected_components
-from telemill.plans.storage import store
+from telemill.plans.storage import scope, store
 
 SHINGLE = 5
 COORDINATES = 64
@@ -166,13 +166,14 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     for k in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("rep").alias(k), F.col("sign").alias(f"sign_{k}"), F.col("n_shingles").alias(f"n_{k}")), k)
     pairs = pairs.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "sign_a", "sign_b")
-    pairs = store(pairs.mapInArrow(_alike(ESTIMATE * percent / 75), "a long, b long"), "pairs")
-    ids = store(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ids")
-    sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary")
-    full = pairs
-    for k in ("b", "a"):
-        full = full.join(sets.select(F.col("row").alias(k), F.col("tokens").alias(f"set_{k}")), k)
-    return store(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    with scope(docs.sparkSession) as keep:
+        pairs = store(pairs.mapInArrow(_alike(ESTIMATE * percent / 75), "a long, b long"), "pairs")
+        ids = store(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ids")
+        sets = only_ids(docs.select("row", "text"), "row", ids, ids.count()).mapInArrow(_sets, "row long, tokens binary")
+        full = pairs
+        for k in ("b", "a"):
+            full = full.join(sets.select(F.col("row").alias(k), F.col("tokens").alias(f"set_{k}")), k)
+        return keep(store(full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long"), "links"))
 
 
 def _exhaust(percent: int):
@@ -257,32 +258,36 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     size = reps.select("rep", F.col("n_shingles").alias("size"))
     roots = mix(np.arange(1, trees(RECALL, LEVELS) + 1, dtype=np.uint64)).view(np.int64).tolist()
     rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
-    # first level: every node's pivot, then what is left of small nodes
-    members = store(_nodes(_children(rows, threshold, 1.0)), "nodes")
-    links = _verified(_pivots(members), reps, docs, percent)
-    groups = connected_components(links)
-    placed = _apart(members, groups)
-    more = _verified(_all_pairs(placed.filter(F.col("n") <= SMALL), ["path"]).distinct(), reps, docs, percent)
-    links = links.union(more)
-    large = store(_mixed(placed.filter(F.col("n") > SMALL)), "large")
-    if large.isEmpty():
-        return connected_components(links)
-    for level in range(1, LEVELS):
-        if large.isEmpty():
-            break
-        rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
-        members = store(_mixed(_apart(_nodes(_children(rows, threshold, FANOUT)), groups)).join(size, "rep"), "nodes")
-        most = MEDIUM if level + 1 < LEVELS else 1 << 62
-        found = [_verified(_all_pairs(members.filter(F.col("n") <= SMALL), ["path"], pivots=True).distinct(), reps, docs, percent)]
-        found.append(store(_compared(members.filter((F.col("n") > SMALL) & (F.col("n") <= most)), docs, percent), "links"))
-        large = members.filter(F.col("n") > most)
-        if not large.isEmpty():
-            found.append(_verified(_pivots(large), reps, docs, percent))
-        for f in found:
-            links = links.union(f)
+    spark = docs.sparkSession
+    with scope(spark) as all_ends:
+        # first level: every node's pivot, then what is left of small nodes
+        with scope(spark) as stays:
+            members = stays(store(_nodes(_children(rows, threshold, 1.0)), "nodes"))
+        links = _verified(_pivots(members), reps, docs, percent)
         groups = connected_components(links)
-        large = store(_mixed(_apart(large.drop("component"), groups)), "large")
-    return groups
+        placed = _apart(members, groups)
+        more = _verified(_all_pairs(placed.filter(F.col("n") <= SMALL), ["path"]).distinct(), reps, docs, percent)
+        links = links.union(more)
+        large = store(_mixed(placed.filter(F.col("n") > SMALL)), "large")
+        if large.isEmpty():
+            return all_ends(store(connected_components(links), "groups"))
+        for level in range(1, LEVELS):
+            if large.isEmpty():
+                break
+            with scope(spark) as stays:
+                rows = large.select("rep", "path").join(reps, "rep").select("rep", "path", "sign")
+                members = stays(store(_mixed(_apart(_nodes(_children(rows, threshold, FANOUT)), groups)).join(size, "rep"), "nodes"))
+            most = MEDIUM if level + 1 < LEVELS else 1 << 62
+            found = [_verified(_all_pairs(members.filter(F.col("n") <= SMALL), ["path"], pivots=True).distinct(), reps, docs, percent)]
+            found.append(store(_compared(members.filter((F.col("n") > SMALL) & (F.col("n") <= most)), docs, percent), "links"))
+            large = members.filter(F.col("n") > most)
+            if not large.isEmpty():
+                found.append(_verified(_pivots(large), reps, docs, percent))
+            for f in found:
+                links = links.union(f)
+            groups = connected_components(links)
+            large = store(_mixed(_apart(large.drop("component"), groups)), "large")
+        return all_ends(store(groups, "groups"))
 
 
 def row_classes(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
@@ -315,10 +320,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     document's set holds its distinct 5-word shingles, or with fewer words its whole sequence. Documents link when the
     Jaccard similarity of their sets is at least ``threshold``. Returns one row per document: doc_id, n_shingles,
     component_id (smallest doc_id that links reach), kept (one row of each class: doc_id = component_id where ids are
-    unique). Null or empty texts have no shingles and link with nothing; equal texts always link. Rows are told apart by
-    a number of their own, so rows that repeat a doc_id, and rows whose doc_id is null, are compared like others and each
+    unique). Null or empty texts have no shingles and link with nothing; equal texts always link. Rows that repeat a
+    doc_id, and rows whose doc_id is null, are told apart by numbers, compared like others and each
     get a row; of a class's rows with its smallest doc_id one is kept, and one of null doc_id if it has no other; a class
     of null ids only has a null component_id. An empty table gives an empty result.
     """
-    rows = numbered(docs, F.col("doc_id").cast("long"), "text")
+    rows = told_apart(docs, "doc_id", "text").withColumnRenamed("own_id", "doc_id")
     return row_classes(rows, threshold).select("doc_id", "n_shingles", "component_id", "kept")

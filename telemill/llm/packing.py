@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm import minhash
-from telemill.llm.shared import numbered, ship
+from telemill.llm.shared import ship, told_apart
 from telemill.plans.storage import store
 
 #: Words of a sequence, pieces of a shard on average.
@@ -123,10 +123,10 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Returns a row per piece: those of best_fit() without item, and text, the words of the piece joined by one space.
     Classes are those of minhash.near_duplicates(), so texts that are equal but for the case of A-Z and for white space are a
-    cluster too. Rows are told apart by numbers of their own: one whose doc_id is null or repeated is compared and packed
+    cluster too. Rows whose doc_id is null or repeated are told apart by numbers, compared and packed
     like others. The pieces of one document go to its text in one row.
     """
-    rows = numbered(docs, F.col("doc_id").cast("long"), "text", F.col("source").cast("string"))
+    rows = told_apart(docs, "doc_id", "text", F.col("source").cast("string")).withColumnRenamed("own_id", "doc_id")
     found = minhash.row_classes(rows.select("row", "doc_id", "text")).select("row", F.col("n_words").alias("length"), F.col("component").alias("cluster"))
     items = found.join(rows.select("row", "doc_id", "source"), "row").withColumnRenamed("row", "item")
     packed = store(best_fit(store(items, "items"), capacity), "packed")

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemill.llm.shared import blocks, mix, numbered, only_ids, runs, ship, strings, words
-from telemill.plans.storage import store
+from telemill.llm.shared import blocks, mix, only_ids, runs, ship, strings, told_apart, words
+from telemill.plans.storage import scope, store
 
 WINDOW = 35
 PHRASE = 8
@@ -176,34 +176,37 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, sketch: DataFrame, copied: DataFrame) -> DataFrame:
     """(doc_id, spans) of documents, not counting those with copies, that have a span to remove; a span is (start, end) in words."""
-    reps = copied.select(F.col("rep").alias("doc_id"))
-    rows = sketch.select("doc_id", "anchors").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", F.explode("anchors").alias("anchor"))
-    rows = store(rows.groupBy("doc_id", "anchor").agg(F.count("*").alias("own")), "anchors")  # once for each document that has it
-    # a table, so that the join is of two plain scans and a very common anchor can be split
-    recurring = store(rows.groupBy("anchor").agg(F.sum("own").alias("m")).filter("m > 1"), "recurring")
-    marks = rows.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("m").alias("counts"))
-    marks = store(marks, "marks")
-    ids = marks.select("doc_id")
-    texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count())
-    stretches = texts.join(marks, "doc_id").select("doc_id", "text", "anchors", "counts").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, words binary, windows array<long>")
-    stretches = store(stretches, "stretches")
-    counted = stretches.select("anchor", "doc_id", "start", F.posexplode("windows").alias("at", "window"))
-    counted = counted.groupBy("anchor", "window").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "start", "at")).alias("one")).filter("times > 1")
-    ones = counted.groupBy("one.doc_id", "one.start").agg(F.collect_list("one.at").alias("at"))  # a stretch has at most WINDOW - PHRASE + 1 windows
-    chosen = stretches.select("anchor", "m", "doc_id", "start", "words").join(ones, ["doc_id", "start"])
-    passages = store(chosen.select("anchor", "m", "words", "at").mapInArrow(_passages, "anchor long, m long, passage binary"), "passages")
-    shards = max(1, -(-stretches.count() // SHARD))
-    salts = F.ceil(F.col("m") / F.lit(HOT)).cast("int")
-    shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
-    left = stretches.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), salts).cast("int")).select("doc_id", "start", "words", shard)
-    right = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("passage", shard)
-    found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_locate, "doc_id long, start long, end long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    with scope(docs.sparkSession) as keep:
+        with scope(docs.sparkSession) as outlives:
+            reps = copied.select(F.col("rep").alias("doc_id"))
+            rows = sketch.select("doc_id", "anchors").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("anchors").alias("anchor"))
+            rows = store(rows.groupBy("doc_id", "anchor").agg(F.count("*").alias("own")), "anchors")  # once for each document that has it
+            # a table, so that the join is of two plain scans and a very common anchor can be split
+            recurring = store(rows.groupBy("anchor").agg(F.sum("own").alias("m")).filter("m > 1"), "recurring")
+            marks = rows.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("m").alias("counts"))
+            marks = outlives(store(marks, "marks"))
+        ids = marks.select("doc_id")
+        texts = only_ids(docs.select("doc_id", "text"), "doc_id", ids, ids.count())
+        stretches = texts.join(marks, "doc_id").select("doc_id", "text", "anchors", "counts").mapInArrow(_stretches, "anchor long, m long, doc_id long, start long, words binary, windows array<long>")
+        stretches = store(stretches.withColumn("key", F.monotonically_increasing_id()), "stretches")
+        # a stretch has at most WINDOW - PHRASE + 1 windows, so a window is named by 32 * key + its number
+        counted = stretches.select("anchor", "key", F.posexplode("windows").alias("at", "window"))
+        counted = counted.groupBy("anchor", "window").agg(F.count("*").alias("times"), F.min(F.col("key") * 32 + F.col("at")).alias("one")).filter("times > 1")
+        ones = counted.groupBy(F.shiftright("one", 5).alias("key")).agg(F.collect_list((F.col("one") % 32).cast("int")).alias("at"))
+        chosen = stretches.select("anchor", "m", "key", "words").join(ones, "key")
+        passages = store(chosen.select("anchor", "m", "words", "at").mapInArrow(_passages, "anchor long, m long, passage binary"), "passages")
+        shards = max(1, -(-stretches.count() // SHARD))
+        salts = F.ceil(F.col("m") / F.lit(HOT)).cast("int")
+        shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).alias("shard")
+        left = stretches.withColumn("salt", F.pmod(F.xxhash64("key"), salts).cast("int")).select("doc_id", "start", "words", shard)
+        right = passages.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("passage", shard)
+        found = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(_locate, "doc_id long, start long, end long")
+        return keep(store(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans"))
 
 
 def _sketched(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship(docs.sparkSession)
-    sketch = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch, "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>")
+    sketch = docs.mapInArrow(_sketch, "doc_id long, n_words long, d1 long, d2 long, sha string, anchors array<long>")
     sketch = store(sketch, "words")
     classes = sketch.filter(F.col("n_words") >= WINDOW).groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     return sketch, store(classes, "classes")
@@ -216,21 +219,24 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     a window of 35 words over it occurs anywhere else, in the same document too, as the input stands. Returns one row
     per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept (those words;
     null where nothing was removed). Null, empty and shorter texts lose nothing; rows with equal texts lose all of
-    them; an empty table gives an empty result. Rows are told apart by numbers of their own, so those that share a doc_id
-    or have none are treated like others.
+    them; an empty table gives an empty result. Rows that share a doc_id or have none are told apart by numbers and
+    treated like others.
     """
-    rows = numbered(docs, F.col("doc_id").cast("long").alias("own_id"), "text")
+    rows = told_apart(docs, "doc_id", "text")
     docs = rows.select(F.col("row").alias("doc_id"), "text")
     sketch, classes = _sketched(docs)
-    spans = store(repeated_spans(docs, sketch, classes), "spans")
+    spans = repeated_spans(docs, sketch, classes)
     ids = spans.select("doc_id")
-    texts = only_ids(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", ids, ids.count())
+    texts = only_ids(docs, "doc_id", ids, ids.count())
     cut = texts.join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_removed long, kept string")
     copies = classes.filter("copies > 1").select("d1", "d2", "n_words", F.lit(True).alias("copied"))
-    out = sketch.select("doc_id", "n_words", "d1", "d2", "sha").join(copies, ["d1", "d2", "n_words"], "left").join(cut, "doc_id", "left").join(rows.select(F.col("row").alias("doc_id"), "own_id"), "doc_id")
+    out = sketch.select("doc_id", "n_words", "d1", "d2", "sha").join(copies, ["d1", "d2", "n_words"], "left").join(cut, "doc_id", "left")
+    own = F.col("doc_id")
+    if hasattr(rows, "stored_at"):  # numbered
+        out, own = out.join(rows.select(F.col("row").alias("doc_id"), "own_id"), "doc_id"), F.col("own_id")
     whole = F.col("copied").isNotNull()
     return out.select(
-        F.col("own_id").alias("doc_id"),
+        own.alias("doc_id"),
         "n_words",
         F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(_EMPTY)).when(F.col("kept").isNotNull(), F.sha2(F.col("kept").cast("binary"), 256)).otherwise(F.col("sha")).alias("kept_sha256"),

@@ -53,6 +53,14 @@ def numbered(df: DataFrame, *columns: Column | str) -> DataFrame:
     return store(df.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
 
 
+def told_apart(df: DataFrame, key: str, *columns: Column | str) -> DataFrame:
+    """``row``, ``own_id`` (the key as a long) and columns of df. Where the key is never null nor repeated it is the row's number itself, else see numbered()."""
+    own = F.col(key).cast("long")
+    if df.groupBy(own.alias("own_id")).count().filter("count > 1 OR own_id IS NULL").isEmpty():
+        return df.select(own.alias("row"), own.alias("own_id"), *columns)
+    return numbered(df, own.alias("own_id"), *columns)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

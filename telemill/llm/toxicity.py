@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill.llm.shared import ship
-from telemill.plans.storage import store
+from telemill.plans.storage import scope, store
 
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
@@ -204,7 +204,8 @@ def _fitted(rows: DataFrame, x: np.ndarray, steps: int) -> tuple[ToxicityModel,
     ratios = log_ratios(*count, p, n)
     weight = F.when(F.col("toxic") == 1, F.lit(0.5 / p)).otherwise(F.lit(0.5 / n))
     train = rows.select(F.when(F.col("toxic") == 1, 1).otherwise(-1).alias("sign"), weight.alias("weight"), "text").mapInArrow(_encoded, "sign int, weight double, features binary")
-    x = minimum(_objective(store(train, "train"), ratios), x, steps)
+    with scope(rows.sparkSession):
+        x = minimum(_objective(store(train, "train"), ratios), x, steps)
     return ToxicityModel(x[:-1] * ratios, float(x[-1])), x
 
 
