@@ -115,6 +115,21 @@ def _children(rows: DataFrame, threshold: float, fanout: float) -> DataFrame:
     return rows.mapInArrow(_branch(fanout / (threshold * COORDINATES)), "rep long, path long")
 
 
+def _first_children(reps: DataFrame, threshold: float, roots: list[int]) -> DataFrame:
+    """What _children() gives at the first level, where every document is at every root, from each (rep, sign) once."""
+    limit, steps = np.uint64(int(2.0**64 / (threshold * COORDINATES))), mix(np.arange(1, COORDINATES + 1, dtype=np.uint64))
+    chosen = [(p, c) for p in np.array(roots, np.int64).view(np.uint64) for c in np.flatnonzero(mix(p ^ steps) < limit)]
+
+    def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sign = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES)
+            for p, c in chosen:
+                child = mix(p + steps[c : c + 1] * np.uint64(3)) ^ mix(sign[:, c].astype(np.uint64) + steps[c])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(child.view(np.int64))], ["rep", "path"])
+
+    return reps.select("rep", "sign").mapInArrow(branch, "rep long, path long")
+
+
 def _beside(table: DataFrame) -> DataFrame:
     """A stored table, to be broadcast if it has at most BROADCAST_IDS rows; a larger one is for a shuffle join, which can split a hot key."""
     return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
@@ -257,12 +272,11 @@ def similar_links(docs: DataFrame, reps: DataFrame, threshold: float = 0.75) ->
     percent = round(100 * threshold)
     size = reps.select("rep", F.col("n_shingles").alias("size"))
     roots = mix(np.arange(1, trees(RECALL, LEVELS) + 1, dtype=np.uint64)).view(np.int64).tolist()
-    rows = reps.select("rep", F.explode(F.array(*[F.lit(r) for r in roots])).alias("path"), "sign")
     spark = docs.sparkSession
     with scope(spark) as all_ends:
         # first level: every node's pivot, then what is left of small nodes
         with scope(spark) as stays:
-            members = stays(store(_nodes(_children(rows, threshold, 1.0)), "nodes"))
+            members = stays(store(_nodes(_first_children(reps, threshold, roots)), "nodes"))
         links = _verified(_pivots(members), reps, docs, percent)
         groups = connected_components(links)
         placed = _apart(members, groups)
