@@ -25,7 +25,7 @@ from telemill.llm.shared import ship
 from telemill.plans.storage import scope, store
 
 ORDERS = (3, 4, 5)
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 #: Labelled rows that the model is made from at most, the first ones by a hash of doc_id.
 SAMPLE = 20_000
 #: Texts that smoothing adds, weight of the squared norm in the regression.
@@ -132,12 +132,12 @@ def _objective(train: DataFrame, ratios: np.ndarray) -> Callable[[np.ndarray], t
                     total[f] += step  # a row's features are distinct
                     total[-1] += step
             total[:-1] *= scale.value
-            yield pa.RecordBatch.from_arrays([pa.array([float(loss)]), pa.array([total.tobytes()], pa.binary())], ["loss", "slope"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(loss)]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["loss", "slope"])
 
-        parts = train.mapInArrow(slope, "loss double, slope binary").collect()  # TASKS rows of BUCKETS + 1 numbers
+        parts = train.mapInArrow(slope, "loss double, slope binary").collect()  # TASKS rows of BUCKETS + 1 numbers, half a megabyte each
         now.destroy()
         inner = np.append(x[:-1], 0.0)
-        return sum(r["loss"] for r in parts) + REG / 2 * float(inner @ inner), sum((np.frombuffer(r["slope"]) for r in parts), REG * inner)
+        return sum(r["loss"] for r in parts) + REG / 2 * float(inner @ inner), sum((np.frombuffer(r["slope"], np.float32) for r in parts), REG * inner)
 
     return value
 
@@ -161,7 +161,7 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
         while new > value - 1e-4 * length * down and length > 1e-10:
             length /= 2
             new, ahead = f(x - length * way)
-        if value - new <= 1e-7 * abs(value):
+        if value - new <= 1e-6 * abs(value):
             break
         if way @ (slope - ahead) > 0:
             moves = [*moves, (-length * way, ahead - slope)][-MEMORY:]
