@@ -136,3 +136,26 @@ def st6(t: Tables) -> DataFrame:
 @query("st7_recent_windows", "SELECT honeypot, time_bucket(INTERVAL 5 MINUTES, event_time) - k * INTERVAL 5 MINUTES AS start, count(*) AS events FROM attacks, range(12) r(k) GROUP BY ALL")
 def st7(t: Tables) -> DataFrame:
     return jobs.recent_activity(t.attacks).select("honeypot", "start", "events")
+
+
+@query("st1_ingest_stream", "SELECT honeypot, count(*) AS n, min(event_time) AS first_event FROM attacks GROUP BY honeypot")
+def st1(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "ingest")
+    for _ in range(2):  # the second run finds nothing new
+        jobs.ingest(_stream(t), path, f"{path}-state", ["record_id"]).awaitTermination()
+    return t.spark.read.parquet(path).groupBy("honeypot").agg(F.count("*").alias("n"), F.min("event_time").alias("first_event"))
+
+
+@query("st7_recent_stream", "SELECT honeypot, time_bucket(INTERVAL 5 MINUTES, event_time) - k * INTERVAL 5 MINUTES AS start, count(*) AS events FROM attacks, range(12) r(k) GROUP BY ALL")
+def st7_stream(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "recent")
+    jobs.to_batches(jobs.recent_activity(_stream(t)), path, f"{path}-state", mode="update").awaitTermination()
+    return jobs.latest(t.spark, path, ["start", "honeypot"]).select("honeypot", "start", "events")
+
+
+@query("s23_landed_hosts", "SELECT port, count(*) AS n, count(DISTINCT ip) AS ips FROM devices GROUP BY port")
+def s23(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "hosts")
+    t.devices.select(F.to_json(F.struct("ip", "port")).alias("value")).unionByName(t.devices.limit(1).select(F.lit("{broken").alias("value"))).write.text(path)
+    docs = logs.read_hosts(t.spark, path).select(F.try_variant_get("doc", "$.ip", "string").alias("ip"), F.try_variant_get("doc", "$.port", "int").alias("port"))
+    return docs.groupBy("port").agg(F.count("*").alias("n"), F.count_distinct("ip").alias("ips"))
