@@ -159,3 +159,22 @@ def s23(t: Tables) -> DataFrame:
     t.devices.select(F.to_json(F.struct("ip", "port")).alias("value")).unionByName(t.devices.limit(1).select(F.lit("{broken").alias("value"))).write.text(path)
     docs = logs.read_hosts(t.spark, path).select(F.try_variant_get("doc", "$.ip", "string").alias("ip"), F.try_variant_get("doc", "$.port", "int").alias("port"))
     return docs.groupBy("port").agg(F.count("*").alias("n"), F.count_distinct("ip").alias("ips"))
+
+
+@query("n16_week_backfill", "SELECT CAST(date_trunc('week', snapshot_date) AS DATE) AS snapshot_week, count(*) AS n FROM devices GROUP BY 1")
+def n16(t: Tables) -> DataFrame:
+    odd = F.pmod(F.xxhash64("ip"), F.lit(2)) == 0  # those have lost their week
+    rows = normalize.backfill_week(t.devices.withColumn("snapshot_week", F.when(~odd, F.to_date(F.date_trunc("week", "snapshot_date")))))
+    return rows.groupBy("snapshot_week").agg(F.count("*").alias("n"))
+
+
+@query("n14_clean_records", "SELECT source_ip, count(*) AS n, 'a' || source_ip || 'b' AS cleaned FROM attacks GROUP BY source_ip")
+def n14(t: Tables) -> DataFrame:
+    with_nul = t.attacks.select("source_ip", F.struct(F.concat(F.lit("a\0"), "source_ip", F.lit("\0b")).alias("x")).alias("record"))
+    return with_nul.groupBy("source_ip", F.get_json_object(normalize.clean_record(F.col("record")), "$.x").alias("cleaned")).agg(F.count("*").alias("n"))
+
+
+@query("s9_unprocessed", "SELECT count(DISTINCT day) AS n FROM attacks WHERE day > DATE '2024-01-03'")
+def s9(t: Tables) -> DataFrame:
+    files = t.attacks.select(F.format_string("log-%s.json", F.col("day").cast("string")).alias("path"), "day").distinct()
+    return logs.unprocessed(files.select("path"), files.filter("day <= DATE '2024-01-03'").select("path")).agg(F.count("*").alias("n"))
