@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemill import schemas
-from telemill.operators import normalize
+from telemill.operators import graph, normalize
 from telemill.plans.adapters import ATTACKS, Tables
+from telemill.plans.analyses import _EDGES
 from telemill.plans.registry import query
 from telemill.plans.reports import _IOCS
 from telemill.plans.storage import scratch_path
@@ -178,3 +179,11 @@ def n14(t: Tables) -> DataFrame:
 def s9(t: Tables) -> DataFrame:
     files = t.attacks.select(F.format_string("log-%s.json", F.col("day").cast("string")).alias("path"), "day").distinct()
     return logs.unprocessed(files.select("path"), files.filter("day <= DATE '2024-01-03'").select("path")).agg(F.count("*").alias("n"))
+
+
+@query("s26_graph_export", _EDGES + " SELECT edge_type, count(*) AS n, sum(weight) AS weight FROM edges GROUP BY edge_type")
+def s26(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "graph")
+    edges = graph.graph_edges(t.attacks)
+    logs.write_graph(graph.graph_nodes(edges), edges, path)
+    return t.spark.read.parquet(f"{path}/edges").groupBy("edge_type").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
