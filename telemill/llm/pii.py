@@ -3,7 +3,8 @@
 Validated numbers (payment cards by their check digit, social security numbers, phone numbers, IPv4 addresses), dates
 and the local parts of mail addresses are permuted within their format by a keyed Feistel network, so an equal value
 has the same pseudonym in every document and the pseudonym is valid in the same way. Rounds are SHA-256 of key, kind,
-round and the other half, added modulo the size of a half; every step can be undone by who holds the key.
+round and the other half, added modulo the size of a half; who holds the key can undo them (a date with the month first
+comes out as one, which may then read as a date with the day first).
 """
 
 from __future__ import annotations
@@ -133,11 +134,15 @@ def _date(m: Column, secret: str) -> Column:
     day_first = to_day(part(3), part(2), part(1))
     day = F.when(iso, to_day(part(1), part(2), part(3))).otherwise(F.coalesce(day_first, to_day(part(3), part(1), part(2))))
     number = F.datediff(day, F.lit(_EPOCH).cast("date"))
+    # a part has a leading zero if it had one, or if neither part shows that there are none
+    full = lambda k: part(k).startswith("0") | (F.least(F.length(part(1)), F.length(part(2))) == 2)
 
     def put(p: Column) -> Column:
         new = F.date_add(F.lit(_EPOCH).cast("date"), (p.a * _DAYS[1] + p.b).cast("int"))
-        form = F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(day_first.isNotNull(), F.date_format(new, "dd-MM-yyyy")).otherwise(F.date_format(new, "MM-dd-yyyy"))
-        return F.replace(form, F.lit("-"), sign)
+        day_part, month_part = F.dayofmonth(new), F.month(new)
+        first, second = (F.when(day_first.isNotNull(), a).otherwise(b).cast("string") for a, b in ((day_part, month_part), (month_part, day_part)))
+        first, second = (F.when(full(k), F.lpad(x, 2, "0")).otherwise(x) for k, x in ((1, first), (2, second)))
+        return F.when(iso, F.replace(F.date_format(new, "yyyy-MM-dd"), F.lit("-"), sign)).otherwise(F.concat(first, sign, second, sign, F.year(new).cast("string")))
 
     pair = permute(F.floor(number / _DAYS[1]), number % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), secret, "date")
     return F.when(number.isNotNull() & (number >= 0) & (number < _DAYS[0] * _DAYS[1]), _with(pair, put)).otherwise(m)

@@ -348,3 +348,16 @@ def test_rows_without_an_id(spark):
     assert fingerprints(docs.filter("doc_id IS NULL")).count() == 2
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in drop_repeats(docs).collect())
     assert got == Counter((i, *w) for i, w in zip(ids, brute_repeats(texts), strict=True))
+
+
+def test_dates_keep_their_form(spark):
+    """A date written without leading zeros comes out without them; the same day has one pseudonym in any form."""
+    from telemill.llm.pii import pseudonymise
+
+    texts = ["2020-04-03", "3/4/2020", "03/04/2020", "3.04.2020", "12/4/2020", "12/04/2020", "4/23/2020", "31/02/2020"]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    iso, bare, full, mixed, bare_12, full_12, month_first, none = (r.text for r in rows)
+    year, month, day = iso.split("-")
+    assert full == f"{day}/{month}/{year}" and bare == f"{int(day)}/{int(month)}/{year}" and mixed == f"{int(day)}.{month}.{year}"
+    assert [int(x) for x in bare_12.split("/")] == [int(x) for x in full_12.split("/")] and re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", bare_12)
+    assert re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", month_first) and none == "31/02/2020"
