@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned flat graph over overlapping cluster shards.
 
 Vectors of one label are dealt to the shards of their OVERLAP nearest leaders (a bounded sample of which no two are
-close). In a shard each vector gets a robust-pruned list of neighbours; lists of a vector from several shards are
+close). Where a label asks for more leaders than one task should hold, its shards are dealt again to leaders of their
+own, so that leaders grow with the label; each vector stays with its nearest leaders of all. In a shard each vector gets a robust-pruned list of neighbours; lists of a vector from several shards are
 united. From the medoid of a shard a greedy walk goes to each query, then expands through every vector within range,
 and cosines are verified in double precision. A shard with more vectors than fit in a task is cut into blocks, and
 each pair of blocks is searched by itself, so one dense group is spread over many tasks. A link is counted in the first
@@ -22,7 +23,7 @@ from telemill.llm.shared import ship, told_apart
 from telemill.operators.components import connected_components
 from telemill.plans.storage import store
 
-#: Vectors for each leader, leaders of a label at most, vectors sampled for each leader.
+#: Vectors for each leader, leaders that a label or shard is dealt to at once, vectors sampled for each leader.
 PER_LEADER, LEADERS, SAMPLED = 400, 1024, 4
 #: Shards that a vector goes to; audit() says what recall that gives.
 OVERLAP = 3
@@ -132,7 +133,7 @@ def _links(limit: float):
         rows = rows.drop_duplicates("vec_id").reset_index(drop=True)
         units, ids, weight = matrix(rows["unit"]), rows["vec_id"].to_numpy(), rows["copies"].to_numpy()
         block, two = rows["block"].to_numpy(), rows["i"].iloc[0] != rows["j"].iloc[0]
-        homes, here = [set(x) for x in rows["homes"]], int(rows["home"].iloc[0])
+        homes, here = [set(x) for x in rows["homes"]], rows["home"].iloc[0]
         number = {v: k for k, v in enumerate(ids.tolist())}
         adjacent = [np.array([number[v] for v in near if v in number], np.int64) for near in rows["near"]]
         back: list[list[int]] = [[] for _ in ids]
@@ -166,27 +167,78 @@ def _links(limit: float):
 
 
 def _leaders(sample: pd.DataFrame) -> pd.DataFrame:
-    """Leaders of one label: of its sampled vectors in order, those not closer than APART to one before."""
+    """Leaders of one cell: of its sampled vectors in order, those not closer than APART to one before."""
     sample = sample.sort_values(["place", "vec_id"])
     units, most, chosen = matrix(sample["unit"]), int(sample["most"].iloc[0]), []
     for k in range(len(units)):
         if len(chosen) < most and (not chosen or (units[chosen] @ units[k]).max() < APART):
             chosen.append(k)
-    return pd.DataFrame({"label": sample["label"].iloc[0], "leaders": [[sample["unit"].iloc[k] for k in chosen]]})
+    return pd.DataFrame({"label": sample["label"].iloc[0], "cell": sample["cell"].iloc[0], "leaders": [[sample["unit"].iloc[k] for k in chosen]]})
+
+
+_DEALT = "vec_id long, unit binary, label string, copies long, all long, capped boolean, homes array<struct<cosine: double, cell: string>>"
 
 
 def _deal(overlap: int):
     def deal(rows: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
-        """rows with homes: numbers of their nearest leaders."""
+        """rows with homes: their nearest leaders, named below their cell."""
+        columns = ["vec_id", "unit", "label", "copies", "all", "capped", "homes"]
         if rows.empty:
-            return pd.DataFrame({"vec_id": [], "unit": [], "label": [], "homes": [], "copies": []})
-        lead = matrix(leaders["leaders"].iloc[0])
-        near = np.argsort(-(matrix(rows["unit"]) @ lead.T), axis=1, kind="stable")[:, :overlap].astype(np.int32)
-        return rows[["vec_id", "unit", "label", "copies"]].assign(homes=list(near))[["vec_id", "unit", "label", "homes", "copies"]]
+            return pd.DataFrame({c: [] for c in columns})
+        cosine, cell = matrix(rows["unit"]) @ matrix(leaders["leaders"].iloc[0]).T, rows["cell"].iloc[0]
+        near = np.argsort(-cosine, axis=1, kind="stable")[:, :overlap]
+        homes = [[{"cosine": c[k], "cell": f"{cell}/{k}"} for k in n] for c, n in zip(cosine, near.tolist(), strict=True)]
+        return rows.assign(homes=homes)[columns]
 
     return deal
 
 
+def _level(rows: DataFrame, sizes: DataFrame, level: int, overlap: int, leaders: int) -> DataFrame:
+    """rows (vec_id, unit, label, copies, cell) dealt to leaders of their cell; sizes has (label, cell, all).
+
+    capped: the cell asked for more leaders than it got.
+    """
+    # below the first level a vector is in ``overlap`` cells, of which it leaves all but ``overlap`` shards in the end
+    want = F.ceil(F.col("all") / (PER_LEADER * (overlap if level else 1)))
+    sizes = sizes.select("label", "cell", "all", F.least(want, F.lit(leaders)).cast("int").alias("most"), (want > leaders).alias("capped"), F.ceil(F.col("all") / PART).cast("int").alias("parts"))
+    rows = rows.join(sizes, ["label", "cell"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    # about SAMPLED vectors for each leader: a vector is in by its hash
+    place = F.pmod(F.xxhash64("vec_id", F.lit(level + 1)), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = rows.withColumn("place", place).filter(F.col("place") <= F.greatest(F.col("most") * SAMPLED, F.lit(64)) / F.col("all"))
+    lead = sample.select("vec_id", "unit", "label", "cell", "most", "place").groupBy("label", "cell").applyInPandas(_leaders, "label string, cell string, leaders array<binary>")
+    lead = lead.join(sizes.select("label", "cell", "parts"), ["label", "cell"]).select("label", "cell", "leaders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = rows.select("vec_id", "unit", "label", "copies", "cell", "all", "capped", "part").groupBy("label", "cell", "part").cogroup(lead.groupBy("label", "cell", "part"))
+    return own.applyInPandas(_deal(overlap), _DEALT)
+
+
+def _dealt(reps: DataFrame, overlap: int, leaders: int) -> DataFrame:
+    """reps (vec_id, unit, label, copies) with homes: names of the ``overlap`` shards of their nearest leaders.
+
+    Cells that came from one with too few leaders, and are much smaller than it, are dealt again; a cell that leaders do
+    not divide is left to the blocks.
+    """
+    rows, ready, level = reps.withColumn("cell", F.lit("")), [], 0
+    sizes = store(rows.groupBy("label", "cell").agg(F.count("*").alias("all")), "cells")
+    while True:
+        dealt = store(_level(rows, sizes, level, overlap, leaders), "dealt")
+        one = dealt.select("vec_id", "unit", "label", "copies", "all", "capped", F.explode("homes").alias("home")).select("*", "home.cosine", "home.cell").drop("home")
+        size = one.filter("capped").groupBy("label", "cell").agg(F.count("*").alias("n"), F.first("all").alias("all"))
+        sizes = store(size.filter((F.col("n") > PER_LEADER * overlap) & (F.col("n") * 4 <= F.col("all") * 3)).select("label", "cell", F.col("n").alias("all")), "cells")
+        if sizes.isEmpty():
+            break
+        ready.append(one.join(sizes.select("label", "cell"), ["label", "cell"], "left_anti").select("vec_id", "cosine", "cell"))
+        rows = store(one.drop("all", "capped", "cosine").join(sizes.select("label", "cell"), ["label", "cell"]), "cells")
+        level += 1
+    if not level:
+        return dealt.select("vec_id", "unit", "label", "copies", F.col("homes.cell").alias("homes"))
+    near = one.select("vec_id", "cosine", "cell")
+    for more in ready:
+        near = near.unionByName(more)
+    # a vector has at most ``overlap`` homes a cell in each level
+    best = F.slice(F.sort_array(F.collect_list(F.struct("cosine", "cell")), False), 1, overlap)
+    return store(near.groupBy("vec_id").agg(best["cell"].alias("homes")).join(reps, "vec_id").select("vec_id", "unit", "label", "copies", "homes"), "dealt")
+
+
 def _tasks(dealt: DataFrame) -> DataFrame:
     """Rows of (label, home, i, j): each shard, or each pair of its blocks."""
     one = dealt.select("*", F.explode("homes").alias("home"))
@@ -197,7 +249,7 @@ def _tasks(dealt: DataFrame) -> DataFrame:
     return one.select("*", F.explode(other).alias("at")).select("*", "at.i", "at.j").drop("at", "wide")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVERLAP) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVERLAP, leaders: int = LEADERS) -> DataFrame:
     """Links of vectors of equal label with cosine at least ``threshold``, in double precision.
 
     vectors has (vec_id, embedding array of floats, label). Vectors that are null, empty, zero or hold
@@ -207,8 +259,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVE
     component_id). Equal vectors of a label are one vertex of the graph with its number of copies; all of them link. Rows
     that repeat a vec_id, or have none, are told apart by numbers and compared like others, and of a
     class's rows with its smallest vec_id one is kept (of null ids only if it has no other; its component_id is null). An
-    empty table gives an empty result. Leaders are fitted on at most LEADERS * SAMPLED vectors of a label; every
-    vector is indexed. Recall is that of the walk and of the shards: see audit().
+    empty table gives an empty result. Leaders are fitted on about ``leaders`` * SAMPLED vectors of a label, or of
+    each shard of a label that needs more leaders than that; every vector is indexed. Recall is that of the walk and of the shards: see audit().
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -218,16 +270,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, overlap: int = OVE
     classes = units.groupBy("label", F.sha2("unit", 256).alias("same")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = store(classes, "same")
     reps = units.withColumnRenamed("vec_id", "rep").join(classes.select("rep", "copies"), "rep").withColumnRenamed("rep", "vec_id")
-    most = classes.groupBy("label").agg(F.least(F.ceil(F.count("*") / PER_LEADER), F.lit(LEADERS)).cast("int").alias("most"), F.count("*").alias("all"))
-    most = store(most.withColumn("parts", F.ceil(F.col("all") / PART).cast("int")), "labels")
-    rows = reps.join(most, "label").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    # about SAMPLED vectors for each leader: a vector is in by its hash
-    place = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rows.withColumn("place", place).filter(F.col("place") <= F.greatest(F.col("most") * SAMPLED, F.lit(64)) / F.col("all"))
-    leaders = sample.select("vec_id", "unit", "label", "most", "place").groupBy("label").applyInPandas(_leaders, "label string, leaders array<binary>")
-    leaders = leaders.join(most.select("label", "parts"), "label").select("label", "leaders", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    own = rows.select("vec_id", "unit", "label", "copies", "part").groupBy("label", "part").cogroup(leaders.groupBy("label", "part"))
-    dealt = store(own.applyInPandas(_deal(overlap), "vec_id long, unit binary, label string, homes array<int>, copies long"), "dealt")
+    dealt = _dealt(reps, overlap, leaders)
     task = ["label", "home", "i", "j"]
     rows = _tasks(dealt)
     graph = rows.select(*task, "vec_id", "unit").groupBy(*task).applyInPandas(_graph, "vec_id long, near array<long>")

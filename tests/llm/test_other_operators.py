@@ -241,15 +241,19 @@ def planted(seed, n=250):
     return rows + [(n + 10 + k, v, 0, "a", "b") for k, v in enumerate(bad)] + [(n + 30, rows[1][1], None, "a", "b")]
 
 
-@pytest.mark.parametrize("block", [1000, 20])
-def test_near_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "each", "leaders"), [(1000, 40, 1024), (20, 40, 1024), (1000, 4, 4)])
+def test_near_vectors(spark, monkeypatch, block, each, leaders):
+    """Shards in one task, in blocks, and dealt again as a label asks for more leaders than it gets at once."""
     from telemill.llm import embeddings
 
+    levels, level = set(), embeddings._level
     monkeypatch.setattr(embeddings, "BLOCK", block)
-    monkeypatch.setattr(embeddings, "PER_LEADER", 40)
+    monkeypatch.setattr(embeddings, "PER_LEADER", each)
+    monkeypatch.setattr(embeddings, "_level", lambda rows, sizes, k, *more: levels.add(k) or level(rows, sizes, k, *more))
     rows = planted(3)
     vectors = spark.createDataFrame(rows, VECTORS)
-    found = embeddings.near_vectors(vectors)
+    found = embeddings.near_vectors(vectors, leaders=leaders)
+    assert (max(levels) > 0) == (leaders == 4)
     got = {r.vec_id: r for r in found.collect()}
     want = brute_links(rows)
     assert set(got) == set(want) and all(got[i].n_links <= n for i, (n, _) in want.items())
