@@ -110,7 +110,8 @@ def _edges(docs: DataFrame, ranges: int) -> DataFrame:
 
     A doc_id that holds several ranges' share of the rows is there as often. The table is written; nothing is collected.
     """
-    share = F.array(*[F.lit(k / ranges) for k in range(ranges)]) if ranges <= 100 else F.transform(F.sequence(F.lit(0), F.lit(ranges - 1)), lambda k: k / F.lit(ranges))
+    # percentile_approx takes nothing but constants, and one text of all shares is a single literal of the plan
+    share = F.split(F.lit(",".join(str(k / ranges) for k in range(ranges))), ",").cast("array<double>")
     found = docs.agg(F.percentile_approx("doc_id", share, F.lit(max(10_000, 10 * ranges))).alias("at"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("n"), F.count("*").alias("all"))
     edges = F.when(F.col("low").isNull(), F.array().cast("array<bigint>")).otherwise(F.array_sort(F.concat(F.array("low"), F.slice(F.col("at").cast("array<bigint>"), 2, ranges))))
     none = F.ceil(F.col("n") * F.lit(ranges) / F.greatest("all", F.lit(1))).cast("int")

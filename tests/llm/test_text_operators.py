@@ -361,3 +361,14 @@ def test_dates_keep_their_form(spark):
     assert full == f"{day}/{month}/{year}" and bare == f"{int(day)}/{int(month)}/{year}" and mixed == f"{int(day)}.{month}.{year}"
     assert [int(x) for x in bare_12.split("/")] == [int(x) for x in full_12.split("/")] and re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", bare_12)
     assert re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", month_first) and none == "31/02/2020"
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 844])
+def test_edges_of_many_ranges(spark, ranges):
+    """Ranges of tables with many partitions are found like those of few, and hold about as many rows each."""
+    from telemill.llm.merkle import _edges
+
+    found = _edges(spark.range(10 * ranges).withColumnRenamed("id", "doc_id"), ranges).first()
+    edges = [x for group in found.groups for x in group]
+    assert edges[0] == 0 and len(edges) == found.n_edges == ranges and found.none == 0
+    assert all(abs(x - 10 * k) <= 10 for k, x in enumerate(edges))
