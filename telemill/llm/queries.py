@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Key of the pseudonyms in the registered queries; a real one comes from a secret store.
@@ -77,6 +78,29 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from telemill.llm.tokens import token_files
+
+    found = token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.centroids import cluster
+
+    return cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from telemill.llm.infill import fill_in_middle, restored
+
+    found = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored()).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
