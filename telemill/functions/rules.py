@@ -57,13 +57,30 @@ SERVER_WORDS = (
     "postgresql", "redis", "mongodb", "elasticsearch", "memcached", "influxdb", "prometheus", "kubernetes", "docker",
 )
 
-# The second ruleset, which only fills in 'unknown', lacks these words and has these protocols instead.
-REFILL_WITHOUT = {
-    "camera": ("dlink camera",),
-    "router": ("boa", "openwrt", "d-link router", "motorola router"),
-    "iot": ("iot", "mips", "arm", "openwrt", "telnet"),
-    "server": ("smtp", "openssl", "openssh"),
-}
+# The second ruleset, which only fills in 'unknown': whole lists of its own; the last two names match only as whole words.
+REFILL_CAMERA_WORDS = (
+    "camera", "dvr", "nvr", "ipcam", "ip cam", "netcam", "webcam", "surveillance", "cctv", "hikvision", "dahua", "axis",
+    "foscam", "vivotek", "tvt", "rtsp", "amcrest", "reolink", "uniview", "hanwha", "geovision", "pelco", "d-link dcs",
+)
+REFILL_ROUTER_WORDS = (
+    "router", "gateway", "goahead-webs", "goahead", "uhttpd", "mini_httpd", "rompager", "tr-069", "cwmp", "dsl-2",
+    "mikrotik", "dd-wrt", "openwrt", "tp-link", "linksys", "netgear", "zyxel", "draytek", "huawei home", "asus router",
+    "routerlogin", "dsl router", "adsl", "vdsl", "broadband router", "home gateway", "totolink", "tenda", "belkin",
+)
+REFILL_PROXY_WORDS = (
+    "squid", "tinyproxy", "privoxy", "3proxy", "ccproxy", "polipo", "iplanet-web-proxy", "sun-java-system-web-proxy",
+    "ebay-proxy-server", "cdn cache server", "zscaler", "bluecoat", "forcepoint", "http connect", "http-connect",
+    "socks5", "socks4", "http proxy", "proxy server", "open proxy",
+)
+REFILL_IOT_WORDS = (
+    "busybox", "dropbear", "mirai", "embedded", "/bin/busybox", "uclibc", "mqtt", "mosquitto", "zigbee", "zwave",
+    "padavan", "lede",
+)
+REFILL_SERVER_WORDS = (
+    "nginx", "apache", "iis", "litespeed", "caddy", "jetty", "tomcat", "flask", "gunicorn", "postfix", "exim",
+    "sendmail", "dovecot", "courier", "cyrus", "microsoft-iis", "samba", "smb", "mssql", "mysql", "postgresql", "redis",
+    "mongodb", "elasticsearch", "memcached", "influxdb", "prometheus", "kubernetes", "docker",
+)
 REFILL_WHOLE_WORDS = ("iis", "smb")
 REFILL_SERVER_PROTOCOLS = ("smtp", "imap", "imap-ssl", "smb", "mssql", "ssh", "pop3")
 

@@ -38,18 +38,18 @@ def refilled_type(current: Column, protocol: Column, server: Column, title: Colu
     kind = F.lower(F.coalesce(protocol, F.lit("")))
     port = F.coalesce(port, F.lit(-1))
 
-    def has(name: str, words: tuple[str, ...], of: Column = text) -> Column:
-        return of.rlike(alternation([w for w in words if w not in rules.REFILL_WITHOUT.get(name, ())], rules.REFILL_WHOLE_WORDS))
+    def has(words: tuple[str, ...], of: Column = text) -> Column:
+        return of.rlike(alternation(words, rules.REFILL_WHOLE_WORDS))
 
     shown = joined_lower(server, title, banner)
     answers = F.coalesce(banner, F.lit("")) != ""
     serves = F.coalesce(server, F.lit("")) != ""
     found = (
-        F.when((port == 554) | has("camera", rules.CAMERA_WORDS), "camera")
-        .when((port == 7547) | has("router", rules.ROUTER_WORDS), "router")
-        .when(has("proxy", rules.PROXY_WORDS, shown) | kind.isin(*rules.PROXY_PROTOCOLS) | (port.isin(*rules.PROXY_PORTS) & (answers | serves)), "proxy")
-        .when(kind.isin(*rules.IOT_PROTOCOLS) | has("iot", rules.IOT_WORDS), "iot")
-        .when(has("server", rules.SERVER_WORDS) | kind.isin(*rules.REFILL_SERVER_PROTOCOLS), "server")
+        F.when((port == 554) | has(rules.REFILL_CAMERA_WORDS), "camera")
+        .when((port == 7547) | has(rules.REFILL_ROUTER_WORDS), "router")
+        .when(has(rules.REFILL_PROXY_WORDS, shown) | kind.isin(*rules.PROXY_PROTOCOLS) | (port.isin(*rules.PROXY_PORTS) & (answers | serves)), "proxy")
+        .when(kind.isin(*rules.IOT_PROTOCOLS) | has(rules.REFILL_IOT_WORDS), "iot")
+        .when(has(rules.REFILL_SERVER_WORDS) | kind.isin(*rules.REFILL_SERVER_PROTOCOLS), "server")
         .otherwise("unknown")
     )
     return F.when(current == "unknown", found).otherwise(current)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.functions import rules
 from telemill.operators.activity import daily_activity
 from telemill.operators.classify import reclassification_report
 from telemill.operators.iocs import credentials, extract_iocs, merged_iocs
@@ -247,20 +248,15 @@ def r32(t: Tables) -> DataFrame:
     return t.devices.groupBy("snapshot_week").agg(F.count("*").alias("n"), F.countDistinct("ip").alias("ips"), F.countDistinct("source").alias("sources"))
 
 
-_REFILL = {
-    "camera": "camera|dvr|nvr|ipcam|ip cam|netcam|webcam|surveillance|cctv|hikvision|dahua|axis|foscam|vivotek|tvt|rtsp|amcrest|reolink|uniview|hanwha|geovision|pelco|d-link dcs",
-    "router": "router|gateway|goahead|uhttpd|mini_httpd|rompager|tr-069|cwmp|mikrotik|tp-link|netgear|adsl|vdsl|tenda|belkin",
-    "proxy": "squid|socks5|socks4|proxy server|tinyproxy",
-    "iot": "busybox|dropbear|mirai|embedded|mqtt|mosquitto|lede",
-    "server": r"nginx|apache|\biis\b|litespeed|jetty|\bsmb\b|mysql|redis|docker",
-}
+def _refill(words: tuple[str, ...]) -> str:
+    return "|".join(rf"\b{w}\b" if w in rules.REFILL_WHOLE_WORDS else w for w in words)
 
 
 @query("x3_reclassified", f"""
 WITH again AS (
-    SELECT device_type AS old_type, CASE WHEN device_type <> 'unknown' THEN device_type WHEN port = 554 OR regexp_matches(t, '{_REFILL['camera']}') THEN 'camera' WHEN port = 7547 OR regexp_matches(t, '{_REFILL['router']}') THEN 'router'
-        WHEN regexp_matches(s, '{_REFILL['proxy']}') OR protocol IN ('socks5-proxy', 'socks4-proxy', 'http-connect') OR (port IN (1080, 3128) AND (coalesce(raw_banner, '') <> '' OR coalesce(http_server, '') <> '')) THEN 'proxy'
-        WHEN protocol IN ('mqtt', 'coap') OR regexp_matches(t, '{_REFILL['iot']}') THEN 'iot' WHEN regexp_matches(t, '{_REFILL['server']}') OR protocol IN ('smtp', 'imap', 'imap-ssl', 'smb', 'mssql', 'ssh', 'pop3') THEN 'server' ELSE 'unknown' END AS new_type
+    SELECT device_type AS old_type, CASE WHEN device_type <> 'unknown' THEN device_type WHEN port = 554 OR regexp_matches(t, '{_refill(rules.REFILL_CAMERA_WORDS)}') THEN 'camera' WHEN port = 7547 OR regexp_matches(t, '{_refill(rules.REFILL_ROUTER_WORDS)}') THEN 'router'
+        WHEN regexp_matches(s, '{_refill(rules.REFILL_PROXY_WORDS)}') OR protocol IN ('socks5-proxy', 'socks4-proxy', 'http-connect') OR (port IN (1080, 3128) AND (coalesce(raw_banner, '') <> '' OR coalesce(http_server, '') <> '')) THEN 'proxy'
+        WHEN protocol IN ('mqtt', 'coap') OR regexp_matches(t, '{_refill(rules.REFILL_IOT_WORDS)}') THEN 'iot' WHEN regexp_matches(t, '{_refill(rules.REFILL_SERVER_WORDS)}') OR protocol IN ('smtp', 'imap', 'imap-ssl', 'smb', 'mssql', 'ssh', 'pop3') THEN 'server' ELSE 'unknown' END AS new_type
     FROM (SELECT *, lower(concat_ws(' ', protocol, http_server, raw_banner)) AS t, lower(concat_ws(' ', http_server, raw_banner)) AS s FROM devices)
 )
 SELECT device_type, sum(b) AS before, sum(a) AS after FROM (SELECT old_type AS device_type, 1 AS b, 0 AS a FROM again UNION ALL SELECT new_type, 0, 1 FROM again) GROUP BY device_type""")
