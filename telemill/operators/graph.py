@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import stable_id
 from telemill.operators.components import connected_components
-from telemill.operators.linkage import credential_hubs, shared_credential_pairs
+from telemill.operators.linkage import credential_hubs, shared_credentials
+from telemill.operators.ranges import set_digests
 from telemill.plans.storage import store
 
 SIGNALS = ("download_url", "file_hash", "hassh")
@@ -34,15 +34,19 @@ def asn_edges(members: DataFrame, known: DataFrame | None = None, first: int = 5
     return pairs.select("src", "dst", F.lit("shares_asn").alias("edge_type"), F.lit(0.5).alias("weight"))
 
 
-def graph_edges(events: DataFrame, members: DataFrame | None = None, hubs: bool = True) -> DataFrame:
-    """All edges: downloads_from, hosts_malware, uses_fingerprint, credentials (hubs, or pairs as same_campaign) and shares_asn."""
+def graph_edges(events: DataFrame, members: DataFrame | None = None, hubs: bool = True, most: int = 100) -> DataFrame:
+    """All edges: downloads_from, hosts_malware, uses_fingerprint, credentials and shares_asn.
+
+    Credentials are hubs (uses_credential); without ``hubs``, only those of more than ``most`` addresses are, and others give an edge same_campaign for each ordered pair.
+    """
     s = event_signals(events)
     out = _edges(s, "source_ip", "download_url", "downloads_from", True)
     out = out.unionByName(_edges(s, "download_url", "file_hash", "hosts_malware", False)).unionByName(_edges(s, "source_ip", "hassh", "uses_fingerprint", True))
     if hubs:
         out = out.unionByName(credential_hubs(events).select("src", "dst", F.lit("uses_credential").alias("edge_type"), F.lit(1.0).alias("weight")))
     else:
-        out = out.unionByName(shared_credential_pairs(events).select("src", "dst", F.lit("same_campaign").alias("edge_type"), F.lit(1.0).alias("weight")))
+        kind = F.when(F.col("kind") == "pair", "same_campaign").otherwise("uses_credential")
+        out = out.unionByName(shared_credentials(events, most).select("src", "dst", kind.alias("edge_type"), F.lit(1.0).alias("weight")))
     return out if members is None else out.unionByName(asn_edges(members, out))
 
 
@@ -163,18 +167,27 @@ def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
     return spread if modularity(edges, spread).first()[0] >= modularity(edges, joined).first()[0] else joined
 
 
+def _first_of(rows: DataFrame, value: str, n: int, name: str) -> DataFrame:
+    """(cluster, name): the n smallest values of each cluster in order, from distinct (cluster, value)."""
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(value))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= n).groupBy("cluster").agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def campaigns(members: DataFrame, events: DataFrame, top_creds: int = 3, most: int = 10, listed: int = 20) -> DataFrame:
     """One row per cluster of addresses (source_ip, cluster): id, events, addresses, protocol, top credentials, hashes and members.
 
-    The id is a hash of all members, so it is the same whenever the members are.
+    The id is a digest of all members, so it is the same whenever the members are; it comes from a tree of digests, and
+    lists are cut to their length before the shuffle, so no task holds the members or hashes of a whole cluster.
     """
-    clusters = members.groupBy("cluster").agg(F.array_sort(F.collect_set("source_ip")).alias("ips"))
-    clusters = clusters.select("cluster", stable_id(F.col("ips")).alias("cluster_id"), F.size("ips").cast("long").alias("source_ip_count"), F.slice("ips", 1, listed).alias("members"))
+    members = members.select("source_ip", "cluster").distinct()
+    clusters = set_digests(members, ["cluster"], "source_ip").select("cluster", F.substring("digest", 1, 16).alias("cluster_id"), F.col("members").alias("source_ip_count"))
+    clusters = clusters.join(_first_of(members, "source_ip", listed, "members"), "cluster", "left")
     e = events.join(members, "source_ip")
     stats = e.groupBy("cluster").agg(
         F.count("*").alias("event_count"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.mode("protocol", True).alias("primary_protocol"),
-        F.slice(F.array_sort(F.collect_set("file_hash")), 1, most).alias("malware_hashes"),
     )
+    hashes = _first_of(e.filter("file_hash IS NOT NULL").select("cluster", "file_hash").distinct(), "file_hash", most, "malware_hashes")
+    stats = stats.join(hashes, "cluster", "left").withColumn("malware_hashes", F.coalesce("malware_hashes", F.array().cast("array<string>")))
     creds = e.filter("username <> '' AND password <> ''").groupBy("cluster", F.concat_ws(":", "username", "password").alias("cred")).agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), F.desc("cred")))
     creds = creds.withColumn("rank", rank).filter(F.col("rank") <= top_creds).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cred"))), lambda x: x.cred).alias("primary_creds"))

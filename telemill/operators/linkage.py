@@ -55,25 +55,36 @@ def same_hash(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
     return a.withColumn("_h", F.lower(left)).join(b.withColumn("_h", F.lower(right)), "_h").drop("_h")
 
 
-def shared_credential_pairs(events: DataFrame, most: int | None = None) -> DataFrame:
-    """Ordered pairs of addresses that used one credential: (src, dst, n credentials).
+def credentials_by_weight(events: DataFrame, most: int) -> DataFrame:
+    """Distinct (source_ip, username, password) with ``ips``, the addresses of the credential, and ``heavy``: more than ``most`` of them."""
+    used = events.filter(has_value("username") & has_value("password") & F.col("source_ip").isNotNull()).select("source_ip", "username", "password").distinct()
+    size = used.groupBy("username", "password").agg(F.count("*").alias("ips"))
+    return used.join(size, ["username", "password"]).withColumn("heavy", F.col("ips") > most)
 
-    Quadratic in the addresses of a credential: for credentials of at most ``most`` addresses, where given; the hub
-    form (credential_hubs) has the same connectivity for all of them.
+
+def shared_credentials(events: DataFrame, most: int) -> DataFrame:
+    """Addresses that used one credential: (kind, src, dst, n), linear in the input.
+
+    A credential of at most ``most`` addresses gives ordered pairs of them (kind ``pair``; n is the number of such credentials
+    that both used), so at most ``most`` rows for each of its addresses. A heavier one is a hub: a row from each address to the credential (kind ``hub``;
+    n is the number of its addresses). Addresses are connected by these rows as they would be by all pairs.
     """
-    used = events.filter(has_value("username") & has_value("password")).select("source_ip", "username", "password").distinct()
-    if most is not None:
-        few = used.groupBy("username", "password").agg(F.count("*").alias("n")).filter(F.col("n") <= most).drop("n")
-        used = used.join(few, ["username", "password"], "left_semi")
-    other = used.withColumnRenamed("source_ip", "dst")
-    pairs = used.join(other, ["username", "password"]).filter(F.col("source_ip") != F.col("dst"))
-    return pairs.groupBy(F.col("source_ip").alias("src"), "dst").agg(F.count("*").alias("n"))
+    used = credentials_by_weight(events, most)
+    light = used.filter("NOT heavy").select("source_ip", "username", "password")
+    pairs = light.join(light.withColumnRenamed("source_ip", "dst"), ["username", "password"]).filter(F.col("source_ip") != F.col("dst"))
+    pairs = pairs.groupBy(F.col("source_ip").alias("src"), "dst").agg(F.count("*").alias("n"))
+    hubs = used.filter("heavy AND ips > 1").select(F.col("source_ip").alias("src"), credential_name().alias("dst"), F.col("ips").alias("n"))
+    return pairs.select(F.lit("pair").alias("kind"), "src", "dst", "n").unionByName(hubs.select(F.lit("hub").alias("kind"), "src", "dst", "n"))
+
+
+def credential_name() -> F.Column:
+    return F.concat_ws(":", F.lit("cred"), "username", "password")
 
 
 def credential_hubs(events: DataFrame) -> DataFrame:
     """Edges from an address to each credential it used: linear in the events."""
     used = events.filter(has_value("username") & has_value("password"))
-    return used.select(F.col("source_ip").alias("src"), F.concat_ws(":", F.lit("cred"), "username", "password").alias("dst")).distinct()
+    return used.select(F.col("source_ip").alias("src"), credential_name().alias("dst")).distinct()
 
 
 def sharing_attackers(events: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemill.operators.ranges import numbered_runs
 from telemill.operators.reporting import PROXY_PORTS
 
 # Command families by pattern, in order of precedence.
@@ -63,12 +64,18 @@ def command_family(command: Column) -> Column:
     return F.coalesce(*[F.when(command.rlike(p), F.lit(k)) for k, p in COMMAND_FAMILIES.items()], F.lit("other"))
 
 
-def command_chains(events: DataFrame) -> DataFrame:
-    """(chain, sessions): families of a session's commands in order of time, joined by '>'."""
-    c = events.filter("command_str IS NOT NULL AND session_id IS NOT NULL")
-    held = F.array_sort(F.collect_list(F.struct("event_time", "record_id", command_family(F.col("command_str")).alias("family"))))
+def command_chains(events: DataFrame, gap: str = "30 minutes", longest: int = 1000) -> DataFrame:
+    """(chain, sessions): families of a session's commands in order of time, joined by '>'.
+
+    A session is cut where no command came for ``gap`` and after every ``longest`` commands: some sensors write one
+    session id for their whole life. Sessions are read in ordered ranges, so one of any length spans many tasks.
+    """
+    c = events.filter("command_str IS NOT NULL AND session_id IS NOT NULL").select("session_id", "event_time", "record_id", command_family(F.col("command_str")).alias("family"))
+    quiet = F.col("event_time") - F.col("previous.event_time") >= F.expr(f"INTERVAL {gap}")
+    c = numbered_runs(c, ["session_id"], ["event_time", "record_id"], ["event_time"], quiet, "_run", "_place")
+    held = F.array_sort(F.collect_list(F.struct("event_time", "record_id", "family")))
     chain = F.array_join(F.transform(held, lambda x: x.family), ">")
-    return c.groupBy("session_id").agg(chain.alias("chain")).groupBy("chain").agg(F.count("*").alias("sessions"))
+    return c.groupBy("session_id", "_run", F.expr(f"_place DIV {longest}")).agg(chain.alias("chain")).groupBy("chain").agg(F.count("*").alias("sessions"))
 
 
 def role_labels(events: DataFrame) -> DataFrame:

@@ -164,9 +164,14 @@ def j5(t: Tables) -> DataFrame:
 _USED = "WITH used AS (SELECT DISTINCT source_ip, username, password FROM attacks WHERE username <> '' AND password <> '') "
 
 
-@query("j6_shared_credential_pairs", _USED + "SELECT a.source_ip AS src, b.source_ip AS dst, count(*) AS n FROM used a JOIN used b ON a.username = b.username AND a.password = b.password AND a.source_ip <> b.source_ip GROUP BY ALL")
+_WEIGHED = _USED.rstrip() + ", size AS (SELECT username, password, count(*) AS ips FROM used GROUP BY ALL), weighed AS (SELECT u.*, ips FROM used u JOIN size s ON u.username = s.username AND u.password = s.password) "
+
+
+@query("j6_shared_credential_pairs", _WEIGHED + """
+SELECT 'pair' AS kind, a.source_ip AS src, b.source_ip AS dst, count(*) AS n FROM weighed a JOIN weighed b ON a.username = b.username AND a.password = b.password AND a.source_ip <> b.source_ip WHERE a.ips <= 100 GROUP BY ALL
+UNION ALL SELECT 'hub', source_ip, concat_ws(':', 'cred', username, password), ips FROM weighed WHERE ips > 100""")
 def j6(t: Tables) -> DataFrame:
-    return linkage.shared_credential_pairs(t.attacks)
+    return linkage.shared_credentials(t.attacks, 100)
 
 
 @query("j7_sharing_attackers", _USED + "SELECT DISTINCT source_ip FROM used a WHERE EXISTS (SELECT 1 FROM used b WHERE a.username = b.username AND a.password = b.password AND a.source_ip <> b.source_ip)")
@@ -488,7 +493,11 @@ def l23(t: Tables) -> DataFrame:
     return rows.groupBy(monday("day").alias("week_start"), "family").agg(F.count("*").alias("n"))
 
 
-@query("l23_command_chains", f"SELECT chain, count(*) AS sessions FROM (SELECT session_id, string_agg({_FAMILY}, '>' ORDER BY event_time, record_id) AS chain FROM attacks WHERE command_str IS NOT NULL GROUP BY session_id) GROUP BY chain")
+@query("l23_command_chains", f"""
+WITH c AS (SELECT *, lag(event_time) OVER w AS before FROM attacks WHERE command_str IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY event_time, record_id)),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR event_time - before >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY event_time, record_id) AS run FROM c),
+p AS (SELECT *, (row_number() OVER (PARTITION BY session_id, run ORDER BY event_time, record_id) - 1) // 1000 AS piece FROM r)
+SELECT chain, count(*) AS sessions FROM (SELECT string_agg({_FAMILY}, '>' ORDER BY event_time, record_id) AS chain FROM p GROUP BY session_id, run, piece) GROUP BY chain""")
 def l23b(t: Tables) -> DataFrame:
     return scoring.command_chains(t.attacks)
 
@@ -587,7 +596,9 @@ _MEMBERS = "WITH m AS (SELECT source_ip, cluster FROM (SELECT source_ip, hassh A
 
 
 @query("g10_campaigns", _MEMBERS + """
-ids AS (SELECT cluster, substring(sha256(string_agg(source_ip, ',' ORDER BY source_ip)), 1, 16) AS cluster_id, count(*) AS source_ip_count FROM m GROUP BY cluster),
+leaf AS (SELECT cluster, substring(sha256(source_ip), 1, 4) AS place, sha256(string_agg(sha256(source_ip), '' ORDER BY sha256(source_ip))) AS digest, count(*) AS n FROM m GROUP BY 1, 2),
+branch AS (SELECT cluster, substring(place, 1, 2) AS place, sha256(string_agg(digest, '' ORDER BY place)) AS digest, sum(n) AS n FROM leaf GROUP BY 1, 2),
+ids AS (SELECT cluster, substring(sha256(string_agg(digest, '' ORDER BY place)), 1, 16) AS cluster_id, sum(n) AS source_ip_count FROM branch GROUP BY cluster),
 c AS (SELECT cluster, concat_ws(':', username, password) AS cred, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, concat_ws(':', username, password) DESC) AS rn FROM e WHERE username <> '' AND password <> '' GROUP BY 1, 2),
 p AS (SELECT cluster, protocol FROM (SELECT cluster, protocol, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, protocol) AS rn FROM e GROUP BY 1, 2) WHERE rn = 1)
 SELECT ids.cluster_id, ids.source_ip_count, (SELECT count(*) FROM e WHERE e.cluster = ids.cluster) AS event_count, p.protocol AS primary_protocol, (SELECT string_agg(cred, ',' ORDER BY rn) FROM c WHERE rn <= 3 AND c.cluster = ids.cluster) AS creds FROM ids JOIN p ON p.cluster = ids.cluster""")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemill.functions.exprs import has_value, service_label
+from telemill.functions.exprs import has_value, service_label, stable_id
 from telemill.operators import activity, graph, linkage
 from telemill.operators.classify import scan_type
 from telemill.operators.iocs import credential_rows, extract_iocs, merged_iocs
 from telemill.operators.merge import merge_as_aggregate, merge_rules
 from telemill.operators.reporting import counted, top_per_group
 from telemill.plans.adapters import Tables
-from telemill.plans.analyses import _MEMBERS, _members
+from telemill.plans.analyses import _MEMBERS, _WEIGHED, _members
 from telemill.plans.registry import query
 from telemill.plans.reports import _IOCS
 from telemill.plans.storage import scratch_path
@@ -56,9 +56,18 @@ def g1(t: Tables) -> DataFrame:
     return graph.event_signals(t.attacks)
 
 
-@query("g4_same_campaign_edges", "WITH used AS (SELECT DISTINCT source_ip, username, password FROM attacks WHERE username <> '' AND password <> '') SELECT DISTINCT a.source_ip AS src, b.source_ip AS dst, 'same_campaign' AS edge_type, 1.0::DOUBLE AS weight FROM used a JOIN used b ON a.username = b.username AND a.password = b.password AND a.source_ip <> b.source_ip")
+@query("g4_same_campaign_edges", _WEIGHED + "SELECT DISTINCT a.source_ip AS src, b.source_ip AS dst, 'same_campaign' AS edge_type, 1.0::DOUBLE AS weight FROM weighed a JOIN weighed b ON a.username = b.username AND a.password = b.password AND a.source_ip <> b.source_ip WHERE a.ips <= 100 UNION ALL SELECT source_ip, concat_ws(':', 'cred', username, password), 'uses_credential', 1.0::DOUBLE FROM weighed WHERE ips > 100")
 def g4(t: Tables) -> DataFrame:
-    return graph.graph_edges(t.attacks, hubs=False).filter("edge_type = 'same_campaign'")
+    return graph.graph_edges(t.attacks, hubs=False, most=100).filter("edge_type IN ('same_campaign', 'uses_credential')")
+
+
+@query("x12_stable_ids", "SELECT username, password, substring(sha256(string_agg(source_ip, ',' ORDER BY source_ip)), 1, 16) AS stable_id FROM (SELECT *, row_number() OVER (PARTITION BY username, password ORDER BY source_ip) AS rn FROM (SELECT DISTINCT username, password, source_ip FROM attacks WHERE username <> '' AND password <> '')) WHERE rn <= 20 GROUP BY ALL")
+def x12(t: Tables) -> DataFrame:
+    """An id of the first 20 addresses of each credential, sorted and joined: for short lists; graph.campaigns has ids of sets of any size."""
+    used = t.attacks.filter(has_value("username") & has_value("password")).select("username", "password", "source_ip").distinct()
+    place = F.row_number().over(Window.partitionBy("username", "password").orderBy("source_ip"))
+    first = used.withColumn("place", place).filter("place <= 20").groupBy("username", "password").agg(F.array_sort(F.collect_list("source_ip")).alias("ips"))
+    return first.select("username", "password", stable_id(F.col("ips")).alias("stable_id"))
 
 
 @query("g6_indicator_nodes", _IOCS + "SELECT node_type, count(*) AS n FROM (SELECT DISTINCT source_ip AS v, 'ip' AS node_type FROM attacks WHERE username <> '' AND password <> '' UNION SELECT concat_ws(':', 'cred', username, password), 'credential' FROM attacks WHERE username <> '' AND password <> '' UNION SELECT ioc_value, ioc_type FROM merged WHERE ioc_type IN ('ip', 'domain')) GROUP BY node_type")
