@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from telemill import schemas
 from telemill.operators import graph, normalize
-from telemill.plans.adapters import ATTACKS, Tables
+from telemill.plans.adapters import Tables
 from telemill.plans.analyses import _EDGES
 from telemill.plans.registry import query
 from telemill.plans.reports import _IOCS
 from telemill.plans.storage import scratch_path
+from telemill.plans.streams import attack_stream
 from telemill.sources import logs
 from telemill.streaming import jobs
 
@@ -106,23 +107,10 @@ def s25(t: Tables) -> DataFrame:
     return logs.freshness(t.attacks, "2024-01-31 00:00:00", 60)
 
 
-def _stream(t: Tables) -> DataFrame:
-    """attacks as a stream over the events table; the pattern lets a single file be a source."""
-    raw = jobs.read_table_stream(t.spark, f"{t.sf_dir}/events.parque[t]", t.table("events").schema)
-    return t.spark.sql(ATTACKS, events=raw)
-
-
-@query("st3_daily_stream", "SELECT day, source_ip, honeypot, count(*) AS event_count, count(*) FILTER (event_type LIKE 'login%') AS login_attempts, count(DISTINCT session_id) AS unique_sessions, min(event_time) AS first_event, max(event_time) AS last_event FROM attacks GROUP BY ALL")
-def st3(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "daily")
-    jobs.to_batches(jobs.daily_activity_stream(_stream(t)), path, f"{path}-state", mode="update").awaitTermination()
-    return jobs.latest(t.spark, path, ["day", "source_ip", "honeypot"])
-
-
 @query("st8_ioc_stream", _IOCS + "SELECT ioc_type, ioc_value, occurrence_count FROM merged")
 def st8(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "iocs")
-    jobs.ioc_batches(_stream(t), path, f"{path}-state").awaitTermination()
+    jobs.ioc_batches(attack_stream(t), path, f"{path}-state").awaitTermination()
     return jobs.merged_ioc_batches(t.spark, path).select("ioc_type", "ioc_value", "occurrence_count")
 
 
@@ -143,14 +131,14 @@ def st7(t: Tables) -> DataFrame:
 def st1(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "ingest")
     for _ in range(2):  # the second run finds nothing new
-        jobs.ingest(_stream(t), path, f"{path}-state", ["record_id"]).awaitTermination()
+        jobs.ingest(attack_stream(t), path, f"{path}-state", ["record_id"]).awaitTermination()
     return t.spark.read.parquet(path).groupBy("honeypot").agg(F.count("*").alias("n"), F.min("event_time").alias("first_event"))
 
 
 @query("st7_recent_stream", "SELECT honeypot, time_bucket(INTERVAL 5 MINUTES, event_time) - k * INTERVAL 5 MINUTES AS start, count(*) AS events FROM attacks, range(12) r(k) GROUP BY ALL")
 def st7_stream(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "recent")
-    jobs.to_batches(jobs.recent_activity(_stream(t)), path, f"{path}-state", mode="update").awaitTermination()
+    jobs.to_batches(jobs.recent_activity(attack_stream(t)), path, f"{path}-state", mode="update").awaitTermination()
     return jobs.latest(t.spark, path, ["start", "honeypot"]).select("honeypot", "start", "events")
 
 

@@ -33,5 +33,5 @@ DEVICE = _struct(
     "http_headers map<string,string>, ssl_cert string, vulns string, query_ids array<string>, query_category string, raw_banner string, raw_data string"
 )
 ACTIVITY = _struct("day date, source_ip string, honeypot string, event_count bigint, login_attempts bigint, unique_sessions bigint, first_event timestamp, last_event timestamp")
-RUN = _struct("run_id string, task_name string, started_at timestamp, completed_at timestamp, status string, records_in bigint, records_out bigint, source_files array<string>, parameters string")
+RUN = _struct("run_id string, task_name string, started_at timestamp, completed_at timestamp, status string, records_in bigint, records_out bigint, source_files array<string>, parameters string, error string")
 BULK_SCAN = _struct("ip string, port int, proto string, timestamp string, asn string, country_code string, value string, data string, banner string")
