@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,21 +30,20 @@ from telemill.plans.storage import scratch_path
 #: Ids in a record and in a block; text bytes of a file.
 SEGMENT, BLOCK, FILE_BYTES = 1 << 16, 1 << 10, 256 << 20
 #: Bytes of words and their ids that a Python worker remembers: so many of recent ones, and as many of older ones.
-MEMO = 160 << 20
+MEMO = 80 << 20
 #: Bytes of a remembered word besides its own and its ids, about; longer words are not remembered.
-_EACH, _LONGEST = 160, 256
-#: Words that the tokenizer gets in one string, bytes of texts that are encoded together.
-_TOGETHER, _TEXTS = 50, 1 << 20
+_EACH, _LONGEST = 130, 256
+#: Words that the tokenizer gets in one string.
+_TOGETHER = 50
 _MAGIC = int.from_bytes(b"S8B1", "little")
 _HEADER = 7
 _SEPARATOR = "ÿ" * 8
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library that remembers the ids of words ``[^\\x20\\x09-\\x0D]+``.
+    """A tokenizer of the tokenizers library that gets each different word ``[^\\x20\\x09-\\x0D]+`` once, and remembers their ids.
 
-    For tokenizers whose tokens do not reach over white space and do not depend on it, as those of pre-tokenizers that
-    drop it.
+    For tokenizers whose tokens neither reach over white space nor depend on it, as those of pre-tokenizers that drop it.
     """
 
     def __init__(self, content: str):
@@ -51,55 +51,53 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
-    def _tokenized(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each word with its ids: words are joined by spaces, and a token belongs to the word that it starts in."""
-        words.sort(key=len)
+    def _tokenized(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word: words are joined by spaces, and a token belongs to the word that it starts in."""
         groups = [words[k : k + _TOGETHER] for k in range(0, len(words), _TOGETHER)]
-        texts = [b" ".join(group).decode() for group in groups]
-        for group, text, found in zip(groups, texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        for group, found in zip(groups, self.tokenizer.encode_batch(list(map(" ".join, groups)), add_special_tokens=False), strict=True):
             ids = np.array(found.ids, self.type)
             starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-            begin = np.cumsum([0, *(len(w) + 1 for w in text.split(" ")[:-1])])
-            cut = [*np.searchsorted(starts, begin).tolist(), len(ids)]
-            raw, size = ids.tobytes(), ids.itemsize
-            yield from ((w, raw[size * a : size * b]) for w, a, b in zip(group, cut[:-1], cut[1:], strict=True))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """Ids of each text as unsigned integers of self.type."""
-        a = 0
-        while a < len(texts):
-            b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b]) <= _TEXTS):
-                size += len(texts[b])
-                b += 1
-            split = [t.split() for t in texts[a:b]]  # of bytes, so by ASCII white space
-            long, open_ = {}, []
-            for w in set().union(*split).difference(self.new):
-                ids = self.old.get(w)
-                if ids is None:
-                    open_.append(w)
-                else:
-                    self._remember(w, ids)
-            for w, ids in self._tokenized(open_):
-                if len(w) <= _LONGEST:
-                    self._remember(w, ids)
-                else:
-                    long[w] = ids
-            get = (self.new | long if long else self.new).__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
-            if self.held > MEMO:
-                self.old, self.new, self.held = self.new, {}, 0
-            a = b
-
-    def _remember(self, word: bytes, ids: bytes) -> None:
-        self.new[word] = ids
-        self.held += len(word) + len(ids) + _EACH
+            size = np.fromiter(map(len, group), np.int64, len(group)) + 1
+            cut = (np.searchsorted(starts, np.cumsum(size) - size) * self.type.itemsize).tolist()
+            raw = ids.tobytes()
+            yield from map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)]))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, as unsigned integers of self.type."""
+        if self.held > MEMO:
+            self.old, self.new, self.held = self.new, {}, 0
+        found = list(map(self.new.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k in missing:
+            found[k] = self.old.get(words[k])
+        unknown = [k for k in missing if found[k] is None]
+        for k, ids in zip(unknown, self._tokenized([words[k] for k in unknown]), strict=True):
+            found[k] = ids
+        for k in missing:
+            word, ids = words[k], found[k]
+            if len(word) <= _LONGEST:
+                self.new[word] = ids
+                self.held += len(word) + len(ids) + _EACH
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each begins; one more than texts)."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        found = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        raw = np.frombuffer(b"".join(found), self.type)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        word = coded.indices.to_numpy()
+        end, last = np.cumsum(size), np.cumsum(size[word])
+        # a word's ids lie as far from their place as its first one does
+        shift = (end - size)[word] - (last - size[word])
+        ids = raw[np.repeat(shift, size[word]) + np.arange(last[-1] if len(last) else 0)]
+        return ids, np.concatenate([[0], last])[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -156,7 +154,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end: int | Non
     ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(-(-size // file_bytes), min(-(-size // (1 << 20)), spark.sparkContext.defaultParallelism), 1)
     last = np.array([] if end is None else [end], np.uint64)
@@ -172,8 +170,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end: int | Non
             return _record_batch(record=pa.array([out], pa.binary()))
 
         for batch in batches:
-            for doc_id, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                found = np.concatenate([np.frombuffer(found, own.type).astype(np.uint64), last])
+            every, at = own.encode(batch.column(1))
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                found = np.concatenate([every[a:b].astype(np.uint64), last])
                 if held and held + len(found) > SEGMENT:
                     yield record()
                     doc_ids, lengths, ids, held = [], [], [], 0
