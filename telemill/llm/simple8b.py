@@ -22,8 +22,6 @@ ESCAPED_FROM = 15 << 56
 
 _LIMITS = np.array([1 << b for b in BITS[:-1]] + [ESCAPED_FROM], np.uint64)
 _ESCAPE = len(BITS)
-#: The narrowest class of each value that is small enough for a table.
-_SMALL = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), "right").astype(np.uint8)
 _PAD = COUNTS[0]
 _HIGH = np.uint64(1 << 59)
 _LOW_HALF = np.uint64(0xFFFFFFFF)
@@ -32,6 +30,14 @@ _STEP = np.array([*COUNTS, 1], np.uint8)
 _WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (3, 3), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (8, 7), 20: (10, 10), 30: (15, 15), 60: (30, 30), 120: (60, 60)}
 
 
+def _classes(values: np.ndarray) -> np.ndarray:
+    """The number of limits that each value reaches: the narrowest class it fits."""
+    out = np.zeros(values.shape, np.uint8)
+    for limit in _LIMITS[: np.searchsorted(_LIMITS, np.iinfo(values.dtype).max, "right")]:
+        out += values >= values.dtype.type(limit)
+    return out
+
+
 def pack(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(words, offset of each block's first word) of unsigned values, in blocks of ``block`` values; each word takes as many as fit."""
     n = len(values)
@@ -42,7 +48,7 @@ def pack(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     full = n // block
     grid[:full, :block] = values[: full * block].reshape(full, block)
     grid[full:, : n - full * block] = values[full * block :]
-    need = _SMALL[grid] if values.max() < len(_SMALL) else np.searchsorted(_LIMITS, grid, "right").astype(np.uint8)
+    need = _classes(grid.astype(np.uint16) if values.max() < 1 << 16 else grid)
     most = {1: need}
     for width, (a, b) in _WINDOWS.items():
         most[width] = wide = most[a].copy()
@@ -50,19 +56,25 @@ def pack(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     choice = np.full(need.shape, _ESCAPE, np.uint8)
     for s in range(len(BITS) - 1, -1, -1):
         np.putmask(choice, most[COUNTS[s]] <= s, s)
-    step = np.minimum(_STEP[choice[:, :block]], np.arange(block, 0, -1)).astype(np.uint8).tobytes()
-    first, i = [], 0
-    while i < n:
-        first.append(i)
-        i += step[i]
-    first = np.array(first)
+    step = _STEP[choice[:, :block]]
+    step[:, -_PAD:] = np.minimum(step[:, -_PAD:], np.arange(step[:, -_PAD:].shape[1], 0, -1, dtype=np.uint8))  # no further than the block's end
+    # all blocks go from word to word at once
+    step, begins = step.ravel().astype(np.int64), np.zeros(n, bool)
+    here = np.arange(rows) * block
+    end = np.minimum(here + block, n)
+    while len(here):
+        begins[here] = True
+        here = here + step[here]
+        inside = here < end
+        here, end = here[inside], end[inside]
+    first = np.flatnonzero(begins)
     row, column = first // block, first % block
     chosen = choice[row, column]
     size = np.where(chosen == _ESCAPE, 2, 1)
     at = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
     for s in np.unique(chosen).tolist():
-        k = np.flatnonzero(chosen == s)
+        k = np.flatnonzero(chosen == s)  # words of this class
         if s == _ESCAPE:
             v = grid[row[k], column[k]]
             words[at[k]], words[at[k] + 1] = v >> np.uint64(32) | _HIGH, v & _LOW_HALF

@@ -28,7 +28,7 @@ from telemill.llm.simple8b import pack, unpack
 from telemill.plans.storage import scratch_path
 
 #: Ids in a record and in a block; text bytes of a file.
-SEGMENT, BLOCK, FILE_BYTES = 1 << 16, 1 << 10, 256 << 20
+SEGMENT, BLOCK, FILE_BYTES = 1 << 18, 1 << 10, 256 << 20
 #: Bytes of words and their ids that a Python worker remembers: so many of recent ones, and as many of older ones.
 MEMO = 80 << 20
 #: Bytes of a remembered word besides its own and its ids, about; longer words are not remembered.
