@@ -142,22 +142,29 @@ def _links(limit: float):
                 back[v].append(k)
         adjacent = [np.unique(np.concatenate([a, np.array(b, np.int64)])) for a, b in zip(adjacent, back, strict=True)]
         medoid = int(np.argmax(units @ units.mean(0)))
-        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for q in range(len(ids)):
+        n, pairs = len(ids), []
+        for q in range(n):
             near = _searched(adjacent, units, medoid, q, limit)
-            for v in near[units[near] @ units[q] >= limit].tolist():  # verified
-                if two and block[v] == block[q]:
-                    continue  # counted where the block is alone
-                if here != min(homes[v] & homes[q]):
-                    continue  # counted and joined in the first shard that both have
-                count[q] += weight[v]
-                a, b = q, v
-                while root[a] != a:
-                    root[a] = a = root[root[a]]
-                while root[b] != b:
-                    root[b] = b = root[root[b]]
-                low, high = (a, b) if ids[a] < ids[b] else (b, a)
-                root[high] = low
+            near = near[units[near] @ units[q] >= limit]  # verified
+            if two:
+                near = near[block[near] != block[q]]  # others are counted where the block is alone
+            # counted and joined in the first shard that both have
+            near = np.array([v for v in near.tolist() if here == min(homes[v] & homes[q])], np.int64)
+            pairs.append(np.minimum(near, q) * n + np.maximum(near, q))
+        # a link counts for both ends, whichever walk has met it
+        pairs = np.unique(np.concatenate(pairs))
+        first, second = pairs // n, pairs % n
+        count = np.zeros(n, np.int64)
+        np.add.at(count, first, weight[second])
+        np.add.at(count, second, weight[first])
+        root = np.arange(n)
+        for a, b in zip(first.tolist(), second.tolist(), strict=True):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            low, high = (a, b) if ids[a] < ids[b] else (b, a)
+            root[high] = low
         for k in range(len(ids)):
             while root[root[k]] != root[k]:
                 root[k] = root[root[k]]
