@@ -3,13 +3,14 @@
 Documents are dealt to shards by hash; in a shard pieces are placed from the longest on. Bins are ordered by residual
 (a bitmap of residuals with a list of bins each); the successor of a piece's length is the tightest bin, and the search
 goes on to the next successor until the bin's source and duplicate-cluster bitmaps have no bit in common with the piece.
-What comes out are the pieces with their words, each with its place in its sequence; sequences() puts them together.
+What comes out are the pieces with their part of the text, each with its place in its sequence; sequences() puts them together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,16 +103,28 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) ->
     return piece.groupBy("shard").applyInPandas(_pack(capacity), "bin long, place long, item long, doc_id long, piece int, start long, length long")
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def first_bytes(text: bytes) -> np.ndarray:
+    """Where each word of a text begins."""
+    space = _SPACE[np.frombuffer(text, np.uint8)]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(text) else np.zeros(0, np.int64)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (text, pieces): a row for each piece, with its words joined by one space."""
+    """Of (text, pieces): a row for each piece with its part of the text, from its first word to the next piece's."""
     for batch in batches:
         out = {k: [] for k in ("bin", "place", "doc_id", "piece", "start", "length", "text")}
         for text, pieces in zip(batch.column(0), batch.column(1), strict=True):
-            words = (text.as_py() or "").encode().split()
+            text = (text.as_py() or "").encode()
+            at = np.append(first_bytes(text), len(text))
             for piece in pieces.as_py():
                 for k, v in piece.items():
                     out[k].append(v)
-                out["text"].append(b" ".join(words[piece["start"] : piece["start"] + piece["length"]]).decode())
+                start, end = piece["start"], piece["start"] + piece["length"]
+                out["text"].append(text[at[start] if start else 0 : at[end]].decode())
         yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in _PIECE], [n for n, _ in _PIECE])
 
 
@@ -121,7 +134,9 @@ _PIECE = [("bin", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pack documents (doc_id, text, source) by words ``[^\\x20\\x09-\\x0D]+``; a class of near duplicates is a cluster.
 
-    Returns a row per piece: those of best_fit() without item, and text, the words of the piece joined by one space.
+    Returns a row per piece: those of best_fit() without item, and text, the part of the document from the piece's first
+    word to the next piece's, white space and all: the pieces of a document in order are its text, byte for byte.
+    A document without words has no piece.
     Classes are those of minhash.near_duplicates(), so texts that are equal but for the case of A-Z and for white space are a
     cluster too. Rows whose doc_id is null or repeated are told apart by numbers, compared and packed
     like others. The pieces of one document go to its text in one row.
@@ -136,6 +151,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """A row per bin of pieces (from pack_documents): bin, length, text, and doc_ids of its pieces in order; a bin is at most ``capacity`` words."""
+    """A row per bin of pieces (from pack_documents): bin, length, text (pieces joined by a space), and doc_ids of its pieces in order; a bin is at most ``capacity`` words."""
     held = pieces.groupBy("bin").agg(F.array_sort(F.collect_list(F.struct("place", "doc_id", "text"))).alias("held"), F.sum("length").alias("length"))
     return held.select("bin", "length", F.array_join("held.text", " ").alias("text"), F.col("held.doc_id").alias("doc_ids"))

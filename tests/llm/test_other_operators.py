@@ -163,11 +163,16 @@ def test_packing_keeps_every_word(spark, documents):
     from telemill.llm.packing import best_fit, pack_documents, sequences
 
     texts = [*ODD, *pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()]
+    texts += ["\n\n def f(x):\n\t return  x\r\n" * 100 + "\v", "\u00a0\u2003 " * 300]
     rows = pack_documents(documents(texts, source=lambda k: f"s{k % 9}" if k % 10 else None), capacity=256).collect()
     words = Counter()
     for r in rows:
         words[r.doc_id] += r.length
-        assert r.text == b" ".join(texts[r.doc_id].encode().split()[r.start : r.start + r.length]).decode()
+        assert r.text.encode().split() == texts[r.doc_id].encode().split()[r.start : r.start + r.length]
+    whole = defaultdict(str)
+    for r in sorted(rows, key=lambda r: r.piece):
+        whole[r.doc_id] += r.text
+    assert whole == {k: t for k, t in enumerate(texts) if (t or "").encode().split()}  # byte for byte
     assert dict(words) == {k: len((t or "").encode().split()) for k, t in enumerate(texts) if (t or "").encode().split()}
     bins = defaultdict(list)
     for r in rows:
@@ -262,6 +267,27 @@ def test_near_vectors(spark, monkeypatch, block, each, leaders):
     assert embeddings.audit(vectors, found, every=5).first().recall >= 0.95
 
 
+def test_links_of_large_groups_are_symmetric_and_found(spark):
+    """Some 6,000 vectors in groups with pairs on both sides of the threshold: each link counts at both ends, few are missed."""
+    from telemill.llm import embeddings
+
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=(60, 32))
+    units = centre[np.arange(6000) % 60] + rng.normal(size=(6000, 32)) * 0.27
+    units = units.astype(np.float32).astype(np.float64)
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    near = units @ units.T >= 0.93
+    np.fill_diagonal(near, False)
+    near &= (np.arange(6000) % 2)[:, None] == np.arange(6000) % 2
+    assert near.sum() > 100_000 and ((units @ units.T)[near] < 0.94).mean() > 0.2
+    vectors = spark.createDataFrame([(k, v.tolist(), k % 2, "", "") for k, v in enumerate(units)], VECTORS.replace("float", "double"))
+    found = embeddings.near_vectors(vectors)
+    links = {r.vec_id: r.n_links for r in found.collect()}
+    total = sum(links.values())
+    assert total % 2 == 0 and all(links[k] <= n for k, n in enumerate(near.sum(1))) and total >= 0.999 * near.sum()
+    assert embeddings.audit(vectors, found).first().recall >= 0.999
+
+
 def test_vectors_with_odd_ids_and_lengths(spark):
     """Repeated and null ids are rows like others; vectors of other lengths link with nothing else."""
     from telemill.llm.embeddings import near_vectors
