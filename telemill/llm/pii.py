@@ -3,8 +3,7 @@
 Validated numbers (payment cards by their check digit, social security numbers, phone numbers, IPv4 addresses), dates
 and the local parts of mail addresses are permuted within their format by a keyed Feistel network, so an equal value
 has the same pseudonym in every document and the pseudonym is valid in the same way. Rounds are SHA-256 of key, kind,
-round and the other half, added modulo the size of a half; who holds the key can undo them (a date with the month first
-comes out as one, which may then read as a date with the day first).
+round and the other half, added modulo the size of a half; who holds the key can undo them.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ PHONE = r"(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-
 PHONE_ANY = r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)"
 CARD = r"(?<![\d-])(?:\d{4}([ -])\d{4}\3\d{4}\3\d{4}|\d{4}([ -])\d{6}\4\d{5}|\d{13,19})(?![\d-])"
 ANY = "|".join((MAIL, IPV4, DATE, SSN, PHONE, PHONE_ANY, CARD))
-#: Days from 1800-01-01 on that dates are permuted among: 400 * 365, to 2199-09-26.
-_EPOCH, _DAYS = "1800-01-01", (400, 365)
+#: Months from 1800 to 2199, and the days in them after the twelfth, as a product of two sizes.
+_EPOCH, _MONTHS, _LATE = "1800-01-01", 4800, (9, 9833)
 
 
 def _pad(i: Column, secret: str, kind: str, half: Column) -> Column:
@@ -125,27 +124,53 @@ def _ipv4(m: Column, secret: str) -> Column:
     return _with(permute(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), secret, "ipv4"), put)
 
 
+def _month(k: Column) -> Column:
+    """First day of a month, counted from the epoch."""
+    return F.add_months(F.lit(_EPOCH).cast("date"), k.cast("int"))
+
+
+def _late_before(k: Column) -> Column:
+    """Days after the twelfth in the months before month k."""
+    return F.datediff(_month(k), F.lit(_EPOCH).cast("date")) - 12 * k
+
+
+def _late_day(n: Column) -> Column:
+    """The n-th day after the twelfth of its month."""
+    near = F.floor(n * F.lit(_MONTHS) / F.lit(_LATE[0] * _LATE[1])).cast("int")  # off by two months at most
+    month = F.array_max(F.filter(F.sequence(F.greatest(near - 2, F.lit(0)), F.least(near + 2, F.lit(_MONTHS - 1))), lambda k: _late_before(k) <= n))
+    return _with(month, lambda k: F.date_add(_month(k), (12 + n - _late_before(k)).cast("int")))
+
+
 def _date(m: Column, secret: str) -> Column:
-    """ISO or day-month-year (month-day-year where only that is a date); the same day has the same pseudonym in any form."""
+    """ISO or day-month-year (month-day-year where only that is a date); the same day has the same pseudonym in any form.
+
+    Days to the twelfth are permuted among each other, and so are those after it, so a date with the month first comes
+    out as one that can be read in no other way.
+    """
     iso = m.rlike(r"^\d{4}")
     sign = F.regexp_extract(m, r"([-/.])", 1)
     part = lambda k: F.element_at(F.split(m, r"[-/.]"), k)
     to_day = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     day_first = to_day(part(3), part(2), part(1))
     day = F.when(iso, to_day(part(1), part(2), part(3))).otherwise(F.coalesce(day_first, to_day(part(3), part(1), part(2))))
-    number = F.datediff(day, F.lit(_EPOCH).cast("date"))
     # a part has a leading zero if it had one, or if neither part shows that there are none
     full = lambda k: part(k).startswith("0") | (F.least(F.length(part(1)), F.length(part(2))) == 2)
 
-    def put(p: Column) -> Column:
-        new = F.date_add(F.lit(_EPOCH).cast("date"), (p.a * _DAYS[1] + p.b).cast("int"))
+    def new(day: Column) -> Column:
+        month, early = (F.year(day) - 1800) * 12 + F.month(day) - 1, F.dayofmonth(day) <= 12
+        late = F.datediff(day, F.lit(_EPOCH).cast("date")) - 12 * (month + 1)
+        a, b = F.when(early, month).otherwise(F.floor(late / _LATE[1])), F.when(early, F.dayofmonth(day) - 1).otherwise(late % _LATE[1])
+        size_a, size_b = (F.when(early, x).otherwise(y) for x, y in zip((_MONTHS, 12), _LATE, strict=True))
+        put = lambda p: F.when(early, F.date_add(_month(p.a), p.b.cast("int"))).otherwise(_late_day(p.a * _LATE[1] + p.b))
+        return _with(permute(a, b, size_a, size_b, secret, "date"), put)
+
+    def written(new: Column) -> Column:
         day_part, month_part = F.dayofmonth(new), F.month(new)
         first, second = (F.when(day_first.isNotNull(), a).otherwise(b).cast("string") for a, b in ((day_part, month_part), (month_part, day_part)))
         first, second = (F.when(full(k), F.lpad(x, 2, "0")).otherwise(x) for k, x in ((1, first), (2, second)))
         return F.when(iso, F.replace(F.date_format(new, "yyyy-MM-dd"), F.lit("-"), sign)).otherwise(F.concat(first, sign, second, sign, F.year(new).cast("string")))
 
-    pair = permute(F.floor(number / _DAYS[1]), number % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), secret, "date")
-    return F.when(number.isNotNull() & (number >= 0) & (number < _DAYS[0] * _DAYS[1]), _with(pair, put)).otherwise(m)
+    return F.when(F.year(day).between(1800, 2199), _with(_with(day, new), written)).otherwise(m)
 
 
 def _mail(m: Column, secret: str) -> Column:

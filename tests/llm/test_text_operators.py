@@ -363,6 +363,20 @@ def test_dates_keep_their_form(spark):
     assert re.fullmatch(r"[1-9]\d?/[1-9]\d?/\d{4}", month_first) and none == "31/02/2020"
 
 
+def test_month_first_dates_are_read_in_one_way(spark):
+    """A day written with the month first has the pseudonym of its other forms, and no other day has it."""
+    from telemill.llm.pii import pseudonymise
+
+    days = [(d, m, y) for y in (1800, 1900, 1999, 2199) for m in range(1, 13) for d in (13, 20, 28)]
+    texts = [f"{m:02d}/{d:02d}/{y} {d:02d}/{m:02d}/{y} {y}-{m:02d}-{d:02d}" for d, m, y in days]
+    rows = pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    for r in rows:
+        month_first, day_first, iso = r.text.split()
+        y, m, d = iso.split("-")
+        assert (month_first, day_first) == (f"{m}/{d}/{y}", f"{d}/{m}/{y}") and int(d) > 12 and 1800 <= int(y) < 2200
+    assert len({r.text for r in rows}) == len(days)
+
+
 @pytest.mark.parametrize("ranges", [1, 7, 844])
 def test_edges_of_many_ranges(spark, ranges):
     """Ranges of tables with many partitions are found like those of few, and hold about as many rows each."""
