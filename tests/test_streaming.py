@@ -41,6 +41,27 @@ def test_ingest_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(out).select("event_id").distinct().count() == 30
 
 
+def test_ingest_goes_on_after_a_failed_batch(spark, tmp_path, monkeypatch):
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for part in (events(spark, 20), events(spark, 30), events(spark, 40)):
+        part.coalesce(1).write.mode("append").parquet(src)
+    calls, insert = [], jobs.insert_new
+
+    def once(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return insert(*a)
+
+    monkeypatch.setattr(jobs, "insert_new", once)
+    with pytest.raises(Exception, match="lost"):
+        jobs.ingest(stream(spark, src), out, state, ["event_id"]).awaitTermination()
+    assert 20 <= spark.read.parquet(out).count() < 40
+    jobs.ingest(stream(spark, src), out, state, ["event_id"]).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.count() == got.select("event_id").distinct().count() == 40 and len(calls) == 4
+
+
 def test_dedup_within_delay(spark, tmp_path):
     start = datetime.datetime(2026, 4, 20)
     rows = [(k, start + datetime.timedelta(seconds=s), "203.0.113.1", 22, "a", "x", "s") for k, s in enumerate((0, 10, 300, 310, 600, 610))]
