@@ -203,3 +203,22 @@ def cluster(vectors: DataFrame, k: int, rounds: int, seed: int, components: int
     digest = {c: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for c, x in enumerate(centroids)}
     figures = spark.createDataFrame([(r["cluster"], fit(r["inertia"]), total, digest[r["cluster"]]) for r in sums], "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(figures), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def oracle(k: int, rounds: int, seed: int, components: int = 64, scale: int = 64) -> str:
+    """The same in DuckDB, over embeddings: all distances of each round."""
+    distance = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(e, c)])"
+    ctes = [
+        f"v AS (SELECT row_number() OVER () AS row, vec_id, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings WHERE len(embedding) = {components} AND len([x for x in embedding if x IS NOT NULL AND isfinite(x)]) = {components})",
+        f"c0 AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS k, e AS c FROM v) WHERE k < {k})",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(f"a{r} AS (SELECT row, vec_id, e, k, d FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY d, k) AS rn FROM (SELECT row, vec_id, e, k, CAST({distance} AS BIGINT) AS d FROM v, c{r})) WHERE rn = 1)")
+        if r < rounds:
+            ctes.append(f"s{r} AS (SELECT k, i, sum(e[i]) AS s, count(*) AS n FROM a{r}, range(1, {components + 1}) t(i) GROUP BY k, i)")
+            ctes.append(f"c{r + 1} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{r} GROUP BY k UNION ALL SELECT k, c FROM c{r} WHERE k NOT IN (SELECT k FROM s{r}))")
+    last = f"a{rounds}"
+    return (
+        f"WITH {', '.join(ctes)} SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} USING (k)"
+    )

@@ -90,3 +90,22 @@ def restored(output: Column | str = "output", form: Column | str = "form", marks
     psm = F.concat(after(before(rest, s), p), middle, after(rest, s))
     spm = F.concat(after(rest, p), middle, after(before(rest, p), s))
     return F.when(form == "psm", psm).when(form == "spm", spm).otherwise(output)
+
+
+#: op13 in DuckDB: seed 7, lines, every text that is not plain transformed, half of them with the suffix first.
+ORACLE = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents
+), h AS (
+    SELECT *, len(units) AS n, CAST('0x' || substring(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substring(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substring(h, 25, 8) AS BIGINT) AS h4 FROM d
+), c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+    SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle) ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p
+"""

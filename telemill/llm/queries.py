@@ -106,6 +106,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from telemill.llm import lines
+    from telemill.llm import centroids, infill, lines
 
-    return {"op6_lines": lines.ORACLE}
+    return {"op6_lines": lines.ORACLE, "op12_centroids": centroids.oracle(k=16, rounds=3, seed=1), "op13_infill": infill.ORACLE}

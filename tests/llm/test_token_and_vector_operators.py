@@ -262,3 +262,13 @@ def test_marks_and_units_that_do_not_work(spark, documents):
         transformed("a1", [0, 0, 0, 0], regex.compile("([a-z])*"), 100, 50, ("<P>", "<S>", "<M>"))
     words = fill_in_middle(documents(["a b  c"]), 3, unit=r"\S+\s*|\s+").collect()[0]
     assert words.n == 3
+
+
+@pytest.mark.parametrize("name", ["op12_centroids", "op13_infill"])
+def test_query_equals_sql(spark, duck, name):
+    from compare import duck_rows, spark_rows
+    from telemill.llm import queries
+
+    df = queries.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    assert spark_rows(df, columns) == duck_rows(duck, queries.oracle_sql()[name], columns)
