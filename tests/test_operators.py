@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemill.functions import exprs
-from telemill.operators import classify, graph
+from telemill.operators import classify, graph, linkage
 from telemill.operators.components import connected_components
 from telemill.operators.iocs import credentials, extract_iocs, merged_iocs
 from telemill.operators.merge import merge_as_aggregate, merge_rules, unseen_batches
@@ -150,3 +150,16 @@ def test_tables_round_trip(spark, tmp_path):
     assert sorted(map(tuple, logs.import_text(spark, str(tmp_path / "x"), df.schema).collect())) == [(1, "a\tb"), (2, None)]
     files = spark.createDataFrame([("p",), ("q",)], "path string")
     assert [r.path for r in logs.unprocessed(files, files.filter("path = 'p'")).collect()] == ["q"] and logs.unprocessed(files, files, force=True).count() == 2
+
+
+def test_pairs_of_a_credential_of_many_addresses(spark):
+    from telemill.plans import catalog
+
+    assert "ips <= 100" not in catalog.ORACLES["j6_shared_credential_pairs"]
+    rows = [(f"ip{k}", f"u{c}", "p") for k in range(150) for c in range(3) if k % (c + 1) == 0] + [("x", "", "p"), (None, "u1", "p")]
+    events = spark.createDataFrame(rows, "source_ip string, username string, password string")
+    held = {f"ip{k}": {c for c in range(3) if k % (c + 1) == 0} for k in range(150)}
+    for most in (0, 60, 100, 1000):
+        found = linkage.shared_credential_pairs(events, most).collect()
+        assert len(found) == 150 * 149
+        assert {(r.src, r.dst): r.n for r in found} == {(a, b): len(held[a] & held[b]) for a in held for b in held if a != b}
