@@ -114,55 +114,71 @@ def host_devices(hosts: DataFrame, week, snapshot, query_id: str, category: str)
     ip = F.coalesce(blank_to_null(_get("$.ip_str")), blank_to_null(_get("$.ip")))
     rows = hosts.withColumn("ip", canonical_ip(ip)).filter("ip IS NOT NULL")
     several = _get("$.data", "array<variant>")
-    rows = rows.select("doc", "ip", F.posexplode(F.when(F.size(several) > 0, several).otherwise(F.array("doc"))).alias("k", "s"))
+    none = F.array().cast("array<string>")
+    of_host = {
+        "_port": _get("$.port"), "_transport": _get("$.transport"), "_protocol": _get("$._shodan.module"), "_product": _get("$.product"), "_version": _get("$.version"),
+        "country_code": F.coalesce(_get("$.location.country_code"), _get("$.country_code")), "asn": asn_number(_get("$.asn")), "org": _get("$.org"), "isp": _get("$.isp"),
+        "hostnames": F.coalesce(_get("$.hostnames", "array<string>"), none), "domains": F.coalesce(_get("$.domains", "array<string>"), none), "tags": F.coalesce(_get("$.tags", "array<string>"), none),
+    }
+    rows = rows.select("doc", "ip", _text_hash(), *[v.alias(k) for k, v in of_host.items()], several.alias("_several"))
+    several = F.col("_several")
+    rows = rows.select("doc", "ip", "_tie", *of_host, F.posexplode(F.when(F.size(several) > 0, several).otherwise(F.array("doc"))).alias("k", "s"))
     s = lambda path, kind="string": _get(path, kind, "s")
     vulns = F.coalesce(F.map_keys(s("$.vulns", "map<string,variant>")), s("$.vulns", "array<string>"), F.array().cast("array<string>"))
     title = F.coalesce(blank_to_null(s("$.http.title")), s("$.http.html_title"))
     banner = F.coalesce(s("$.data"), s("$.banner"))
-    both = lambda path, kind="string": F.coalesce(s(path, kind), _get(path, kind))
+    both = lambda path, of: F.coalesce(s(path), F.col(of))
     rows = rows.select(
         F.lit("shodan").alias("source"), F.lit(week).cast("date").alias("snapshot_week"), F.lit(snapshot).cast("date").alias("snapshot_date"), "ip",
-        safe_int(both("$.port")).alias("port"), both("$.transport").alias("transport"), both("$._shodan.module").alias("protocol"), both("$.product").alias("product"), both("$.version").alias("version"),
+        safe_int(both("$.port", "_port")).alias("port"), both("$.transport", "_transport").alias("transport"), both("$._shodan.module", "_protocol").alias("protocol"), both("$.product", "_product").alias("product"), both("$.version", "_version").alias("version"),
         F.when(F.size(_list_or_one("$.cpe23")) > 0, _list_or_one("$.cpe23")).otherwise(_list_or_one("$.cpe")).alias("cpe"), F.array_sort(vulns).alias("cve_ids"),
-        F.coalesce(_get("$.location.country_code"), _get("$.country_code")).alias("country_code"), asn_number(_get("$.asn")).alias("asn"), _get("$.org").alias("org"), _get("$.isp").alias("isp"),
-        F.coalesce(_get("$.hostnames", "array<string>"), F.array().cast("array<string>")).alias("hostnames"), F.coalesce(_get("$.domains", "array<string>"), F.array().cast("array<string>")).alias("domains"),
-        F.coalesce(_get("$.tags", "array<string>"), F.array().cast("array<string>")).alias("tags"), title.alias("http_title"), s("$.http.server").alias("http_server"),
+        "country_code", "asn", "org", "isp", "hostnames", "domains", "tags", title.alias("http_title"), s("$.http.server").alias("http_server"),
         F.coalesce(s("$.http.headers", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("http_headers"), s("$.ssl.cert").alias("ssl_cert"), s("$.vulns").alias("vulns"),
-        F.array(F.lit(query_id)).alias("query_ids"), F.lit(category).alias("query_category"), F.substring(banner, 1, 4096).alias("raw_banner"), F.to_json("doc").alias("raw_data"), "k",
+        F.array(F.lit(query_id)).alias("query_ids"), F.lit(category).alias("query_category"), F.substring(banner, 1, 4096).alias("raw_banner"), F.to_json("doc").alias("raw_data"), "k", "_tie",
     )
     rows = rows.withColumn("device_type", device_type(F.col("product"), F.col("http_server"), F.col("http_title"), F.col("raw_banner"), F.col("port"), F.col("tags")))
-    return first_of(rows, ["ip", "port"], "k").select(*schemas.DEVICE.names)
+    return first_of(rows, ["ip", "port"], "k", tie="_tie").select(*schemas.DEVICE.names)
 
 
 def enriched_devices(hosts: DataFrame, week, snapshot) -> DataFrame:
     """Enrichment hosts (VARIANT doc) as a row per service, the last of each port; one row without a port where there is none."""
     r = lambda path, kind="string": _get(f"$.result.resource{path}", kind)
     rows = hosts.withColumn("ip", canonical_ip(r(".ip"))).filter("ip IS NOT NULL")
-    rows = rows.withColumn("services", r(".services", "array<variant>")).select("doc", "ip", F.posexplode_outer("services").alias("k", "s"))
+    none = F.array().cast("array<string>")
+    of_host = {
+        "country_code": r(".location.country_code"), "asn": r(".autonomous_system.asn", "long"), "org": r(".autonomous_system.name"), "isp": r(".autonomous_system.description"),
+        "tags": F.coalesce(r(".labels", "array<string>"), none),
+    }
+    rows = rows.select("doc", "ip", _text_hash(), *[v.alias(k) for k, v in of_host.items()], r(".services", "array<variant>").alias("services"))
+    rows = rows.select("doc", "ip", "_tie", *of_host, F.posexplode_outer("services").alias("k", "s"))
     s = lambda path, kind="string": _get(path, kind, "s")
     software = F.transform(s("$.software", "array<struct<vendor:string,product:string,version:string>>"), lambda x: F.concat_ws(" ", x.vendor, x.product, x.version))
-    none = F.array().cast("array<string>")
     rows = rows.select(
         F.lit("censys").alias("source"), F.lit(week).cast("date").alias("snapshot_week"), F.lit(snapshot).cast("date").alias("snapshot_date"), "ip",
         safe_int(s("$.port")).alias("port"), F.lower(s("$.transport_protocol")).alias("transport"),
         F.lower(F.coalesce(s("$.protocol"), s("$.extended_service_name"), s("$.service_name"))).alias("protocol"), F.array_join(software, ", ").alias("product"), F.lit(None).cast("string").alias("version"),
-        none.alias("cpe"), none.alias("cve_ids"), r(".location.country_code").alias("country_code"), r(".autonomous_system.asn", "long").alias("asn"), r(".autonomous_system.name").alias("org"),
-        r(".autonomous_system.description").alias("isp"), none.alias("hostnames"), none.alias("domains"), F.coalesce(r(".labels", "array<string>"), none).alias("tags"),
+        none.alias("cpe"), none.alias("cve_ids"), "country_code", "asn", "org",
+        "isp", none.alias("hostnames"), none.alias("domains"), "tags",
         s("$.http.response.html_title").alias("http_title"), F.coalesce(s("$.http.response.headers.Server"), s("$.http.response.headers.server")).alias("http_server"),
         F.coalesce(s("$.http.response.headers", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("http_headers"), s("$.tls.certificates[0]").alias("ssl_cert"), F.lit(None).cast("string").alias("vulns"),
-        none.alias("query_ids"), F.lit("enrichment").alias("query_category"), F.substring(s("$.banner"), 1, 4096).alias("raw_banner"), F.to_json("doc").alias("raw_data"), "k",
+        none.alias("query_ids"), F.lit("enrichment").alias("query_category"), F.substring(s("$.banner"), 1, 4096).alias("raw_banner"), F.to_json("doc").alias("raw_data"), "k", "_tie",
     )
     rows = rows.withColumn("device_type", device_type(F.col("product"), F.col("http_server"), F.col("http_title"), F.col("raw_banner"), F.col("port"), F.col("tags")))
-    return first_of(rows, ["ip", "port"], "k", last=True).select(*schemas.DEVICE.names)
+    return first_of(rows, ["ip", "port"], "k", last=True, tie="_tie").select(*schemas.DEVICE.names)
+
+
+def _text_hash() -> Column:
+    """Hash of a whole host, taken once for each, which tells rows of equal order apart without their texts."""
+    return F.xxhash64(F.to_json("doc")).alias("_tie")
 
 
-def first_of(rows: DataFrame, key: list[str], order: str, last: bool = False) -> DataFrame:
-    """The first (or last) row of each key by an order; ties by the row's hash."""
+def first_of(rows: DataFrame, key: list[str], order: str, last: bool = False, tie: str | None = None) -> DataFrame:
+    """The first (or last) row of each key by an order; ties by a column, or by the row's hash where none is given."""
     from pyspark.sql import Window
 
     by = F.col(order).desc() if last else F.col(order).asc()
-    w = Window.partitionBy(*key).orderBy(by, F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    w = Window.partitionBy(*key).orderBy(by, F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith(("map", "variant"))]) if tie is None else F.col(tie))
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", *([tie] if tie else []))
 
 
 def _feed(rows: DataFrame, snapshot, **content: Column) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemill.functions import exprs
-from telemill.operators import classify, graph, linkage
+from telemill.operators import classify, graph, linkage, normalize
 from telemill.operators.components import connected_components
 from telemill.operators.iocs import credentials, extract_iocs, merged_iocs
 from telemill.operators.merge import merge_as_aggregate, merge_rules, unseen_batches
@@ -163,3 +163,18 @@ def test_pairs_of_a_credential_of_many_addresses(spark):
         found = linkage.shared_credential_pairs(events, most).collect()
         assert len(found) == 150 * 149
         assert {(r.src, r.dst): r.n for r in found} == {(a, b): len(held[a] & held[b]) for a in held for b in held if a != b}
+
+
+@pytest.mark.parametrize("kind", ["host", "enriched"])
+def test_hosts_are_not_carried_whole_with_each_service(spark, kind):
+    service = lambda port, server: f'{{"port": {port}, "http": {{"server": "{server}", "response": {{"headers": {{"Server": "{server}"}}}}}}}}'
+    services = "[" + ", ".join(service(p, f"s{k}") for k, p in enumerate([80, 23, 80, 443, 23])) + "]"
+    doc = {"host": f'{{"ip_str": "192.0.2.1", "asn": "AS7", "org": "o", "data": {services}}}', "enriched": f'{{"result": {{"resource": {{"ip": "192.0.2.1", "autonomous_system": {{"asn": 7, "name": "o"}}, "services": {services}}}}}}}'}[kind]
+    hosts = spark.createDataFrame([(doc,), (doc,)], "t string").repartition(2).select(F.try_parse_json("t").alias("doc"))
+    found = normalize.host_devices(hosts, "2024-01-01", "2024-01-03", "q", "iot") if kind == "host" else normalize.enriched_devices(hosts, "2024-01-01", "2024-01-03")
+    last = {"host": {80: "s0", 23: "s1", 443: "s3"}, "enriched": {80: "s2", 23: "s4", 443: "s3"}}[kind]
+    assert {r.port: (r.http_server, r.asn, r.org) for r in found.collect()} == {p: (s, 7, "o") for p, s in last.items()}
+    assert found.count() == 3 and found.filter("raw_data LIKE '%192.0.2.1%'").count() == 3
+    plan = found.select("ip", "port", "http_server")._jdf.queryExecution().optimizedPlan()
+    columns = [str(plan.apply(k).output()) for k in range(60) if plan.apply(k) is not None]
+    assert not any("raw_data" in c for c in columns)  # before: with each service, so a host of n services took n * n
