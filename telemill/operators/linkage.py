@@ -152,7 +152,9 @@ def consecutive_weeks(devices: DataFrame) -> DataFrame:
 
 def shared_blocks(events: DataFrame, devices: DataFrame) -> DataFrame:
     """/24 networks with attackers and scanned devices."""
-    return events.select(net24("source_ip").alias("net")).filter("net IS NOT NULL").intersect(devices.select(net24("ip").alias("net")))
+    a = events.select(net24("source_ip").alias("net")).filter("net IS NOT NULL").distinct()
+    b = devices.select(net24("ip").alias("net")).distinct()  # intersect alone joins with every row of a network
+    return a.join(b, "net", "left_semi")
 
 
 def service_matches(devices: DataFrame, feeds: DataFrame) -> DataFrame:
