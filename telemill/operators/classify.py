@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,8 +11,16 @@ from telemill.functions import rules
 from telemill.functions.exprs import alternation, joined_lower
 
 
-def _words(name: str, words: tuple[str, ...], borders: bool) -> str:
-    return alternation(words, words if borders else ())
+def _has(text: Column, words: tuple[str, ...], borders: bool) -> Column:
+    """Whether a text has any of the words: searches of bytes, several times faster than one pattern with as many branches."""
+    if borders:
+        return text.rlike(alternation(words, words))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def device_text(product: Column | str, server: Column | str, title: Column | str, banner: Column | str, tags: Column | None = None) -> Column:
+    """The lower-cased texts that words of device_type are looked for in."""
+    return joined_lower(product, server, title, banner, *([] if tags is None else [F.array_join(tags, " ")]))
 
 
 def device_type(product: Column, server: Column, title: Column, banner: Column, port: Column, tags: Column | None = None, word_boundary: bool = False) -> Column:
@@ -18,13 +28,17 @@ def device_type(product: Column, server: Column, title: Column, banner: Column,
 
     Words match anywhere in the lower-cased texts, or only between word borders with ``word_boundary``.
     """
-    text = joined_lower(product, server, title, banner, *([] if tags is None else [F.array_join(tags, " ")]))
+    return type_of_text(device_text(product, server, title, banner, tags), product, port, word_boundary)
+
+
+def type_of_text(text: Column, product: Column, port: Column, word_boundary: bool = False) -> Column:
+    """device_type of device_text, which is best a column of its own: it is looked at many times."""
     protocol = F.lower(F.coalesce(product, F.lit("")))
     port = F.coalesce(port, F.lit(-1))
-    has = lambda words: text.rlike(_words("", words, word_boundary))
+    has = lambda words: _has(text, words, word_boundary)
     return (
-        F.when(has(rules.CAMERA_WORDS) | (port == 554), "camera")
-        .when(has(rules.ROUTER_WORDS) | (port == 7547), "router")
+        F.when((port == 554) | has(rules.CAMERA_WORDS), "camera")
+        .when((port == 7547) | has(rules.ROUTER_WORDS), "router")
         .when(has(rules.PROXY_WORDS) | protocol.isin(*rules.PROXY_PROTOCOLS) | (port.isin(*rules.PROXY_PORTS) & (text != "")), "proxy")
         .when(has(rules.IOT_WORDS) | protocol.isin(*rules.IOT_PROTOCOLS), "iot")
         .when(has(rules.SERVER_WORDS), "server")

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemill.operators.classify import device_type
+from telemill.operators.classify import device_text, type_of_text
 
 ATTACKS = """
 SELECT event_id AS record_id, CAST(ts AS TIMESTAMP) AS event_time, CAST(ts AS DATE) AS day,
@@ -102,8 +102,16 @@ class Tables:
     @cached_property
     def devices(self) -> DataFrame:
         rows = self._view(DEVICES, "lineitem", "part", "supplier", "nation")
-        kind = device_type(F.col("product"), F.col("http_server"), F.lit(None).cast("string"), F.col("raw_banner"), F.col("port"))
-        return rows.withColumn("device_type", kind)
+        rows = rows.withColumn("_text", device_text("product", "http_server", F.lit(None).cast("string"), "raw_banner"))
+        return rows.withColumn("device_type", type_of_text(F.col("_text"), F.col("product"), F.col("port"))).drop("_text")
+
+    def devices_of(self, *types: str) -> DataFrame:
+        """devices of some types.
+
+        The type goes through an array, because a filter on it would be pushed below its own column: it would then be worked out twice for each row.
+        """
+        others = [c for c in self.devices.columns if c != "device_type"]
+        return self.devices.select(*others, F.explode(F.array("device_type")).alias("device_type")).filter(F.col("device_type").isin(*types))
 
     @cached_property
     def feeds(self) -> DataFrame:

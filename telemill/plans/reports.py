@@ -156,7 +156,7 @@ def _unknown(name: str, key: str, sql: str | None = None, column: Callable[[], C
 
     @query(f"r21_unknown_by_{name}", sql or f"SELECT {key} AS value, count(*) AS n, count(DISTINCT ip) AS ips FROM devices WHERE device_type = 'unknown' GROUP BY {key}")
     def unknown(t: Tables) -> DataFrame:
-        rows = t.devices.filter("device_type = 'unknown'")
+        rows = t.devices_of("unknown")
         return rows.withColumn("value", F.col(key) if column is None else column()).groupBy("value").agg(F.count("*").alias("n"), F.countDistinct("ip").alias("ips"))
 
 
@@ -212,7 +212,7 @@ def r27b(t: Tables) -> DataFrame:
 
 @query("r28_exposure_baseline", "SELECT device_type, count(DISTINCT ip) AS ips, count(*) AS n, count(DISTINCT org) AS orgs FROM devices WHERE device_type IN ('camera', 'router', 'iot', 'proxy') GROUP BY device_type")
 def r28(t: Tables) -> DataFrame:
-    return t.devices.filter(F.col("device_type").isin("camera", "router", "iot", "proxy")).groupBy("device_type").agg(F.countDistinct("ip").alias("ips"), F.count("*").alias("n"), F.countDistinct("org").alias("orgs"))
+    return t.devices_of("camera", "router", "iot", "proxy").groupBy("device_type").agg(F.countDistinct("ip").alias("ips"), F.count("*").alias("n"), F.countDistinct("org").alias("orgs"))
 
 
 @query("r29_exposed_iot_proxies", "SELECT ip, port, org, snapshot_date FROM devices WHERE list_has_any(string_split(query_list, ','), ['q_iot']) AND list_contains(string_split(query_list, ','), 'q_proxy') AND port IN (1080, 3128, 8080, 8888) ORDER BY snapshot_date DESC, ip, port, org LIMIT 50")

@@ -178,3 +178,28 @@ def test_hosts_are_not_carried_whole_with_each_service(spark, kind):
     plan = found.select("ip", "port", "http_server")._jdf.queryExecution().optimizedPlan()
     columns = [str(plan.apply(k).output()) for k in range(60) if plan.apply(k) is not None]
     assert not any("raw_data" in c for c in columns)  # before: with each service, so a host of n services took n * n
+
+
+def test_type_is_worked_out_once_and_blocks_are_distinct(spark):
+    from conftest import SF
+    from telemill.plans import catalog
+
+    plan = catalog.QUERIES["r28_exposure_baseline"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    nodes = [plan.apply(k) for k in range(60) if plan.apply(k) is not None]
+    filters = [str(n.condition()) for n in nodes if n.nodeName() == "Filter"]
+    assert not any("hikvision" in f for f in filters)  # before: all words were looked for in the filter, and again for the groups
+    plan = catalog.QUERIES["j21_shared_blocks"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    names = [plan.apply(k).nodeName() for k in range(60) if plan.apply(k) is not None]
+    assert names[0] == "Join" and names.count("Aggregate") == 2  # before: one, above a join of every row with every network's rows
+
+
+def test_words_of_types_by_bytes(spark):
+    from telemill.functions import rules
+
+    words = [w for ws in (rules.CAMERA_WORDS, rules.ROUTER_WORDS, rules.PROXY_WORDS, rules.IOT_WORDS, rules.SERVER_WORDS) for w in ws]
+    df = spark.createDataFrame([(f"x{w.upper()}y",) for w in words] + [("é",), (None,), ("",)], "banner string")
+    none = F.lit(None).cast("string")
+    kind = classify.device_type(none, none, none, F.col("banner"), F.lit(1))
+    order = [("camera", rules.CAMERA_WORDS), ("router", rules.ROUTER_WORDS), ("proxy", rules.PROXY_WORDS), ("iot", rules.IOT_WORDS), ("server", rules.SERVER_WORDS)]
+    expected = lambda t: next((k for k, ws in order if any(w in (t or "").lower() for w in ws)), "unknown")
+    assert all(r.k == expected(r.banner) for r in df.select("banner", kind.alias("k")).collect())
