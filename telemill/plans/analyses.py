@@ -14,6 +14,7 @@ from telemill.operators.reporting import PROXY_PORTS, counted, share_of, top_per
 from telemill.plans.adapters import Tables
 from telemill.plans.registry import query
 from telemill.plans.reports import _IOCS
+from telemill.plans.storage import store
 
 _PROXY = "port IN (1080, 3128, 8080, 8888)"
 
@@ -422,6 +423,7 @@ def l15(t: Tables) -> DataFrame:
 @query("l16_risk_model")
 def l16(t: Tables) -> DataFrame:
     f = scoring.ip_features(t.attacks, t.devices).withColumn("attacker", (F.col("attacks") > 0).cast("int"))
+    f = store(f, "features")  # scaling, fit and evaluation read them again and again
     columns = ["ports", "weeks", "proxy", "iot"]
     model, auc = scoring.risk_model(f, "attacker", columns)
     weights = model.stages[-1].coefficients.toArray().tolist()
