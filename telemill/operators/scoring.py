@@ -88,7 +88,9 @@ def role_labels(events: DataFrame) -> DataFrame:
 
 def ip_features(events: DataFrame, devices: DataFrame) -> DataFrame:
     """Features of scanned addresses for the risk model: two aggregates, joined (a single join would multiply counts)."""
-    d = devices.groupBy("ip").agg(F.countDistinct("port").alias("ports"), F.countDistinct("snapshot_week").alias("weeks"), F.max(F.col("port").isin(*PROXY_PORTS).cast("int")).alias("proxy"), F.max((F.col("device_type") == "iot").cast("int")).alias("iot"))
+    # sets of an address hold ports and weeks, which are few; distinct counts would take three rows for each device
+    different = lambda c: F.size(F.collect_set(c)).cast("long")
+    d = devices.groupBy("ip").agg(different("port").alias("ports"), different("snapshot_week").alias("weeks"), F.max(F.col("port").isin(*PROXY_PORTS).cast("int")).alias("proxy"), F.max((F.col("device_type") == "iot").cast("int")).alias("iot"))
     e = events.groupBy(F.col("source_ip").alias("ip")).agg(F.count("*").alias("attacks"), F.countDistinct("event_type").alias("kinds"))
     return d.join(e, "ip", "left").na.fill(0, ["attacks", "kinds"])
 

@@ -203,3 +203,11 @@ def test_words_of_types_by_bytes(spark):
     order = [("camera", rules.CAMERA_WORDS), ("router", rules.ROUTER_WORDS), ("proxy", rules.PROXY_WORDS), ("iot", rules.IOT_WORDS), ("server", rules.SERVER_WORDS)]
     expected = lambda t: next((k for k, ws in order if any(w in (t or "").lower() for w in ws)), "unknown")
     assert all(r.k == expected(r.banner) for r in df.select("banner", kind.alias("k")).collect())
+
+
+def test_features_take_one_row_for_each_device(spark):
+    from conftest import SF
+    from telemill.plans import catalog
+
+    plan = catalog.QUERIES["l15_ip_features"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert "Expand" not in [plan.apply(k).nodeName() for k in range(60) if plan.apply(k) is not None]
