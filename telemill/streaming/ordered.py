@@ -76,7 +76,8 @@ def in_order(events: DataFrame, keys: Sequence[str], values: Sequence[str], rule
             state.setTimeoutTimestamp(max(min(due) // 1000, mark + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame([(*key, *row) for row in found], columns=names)
+        if found:  # most calls give none, and a frame costs more than all else here
+            yield pd.DataFrame([(*key, *row) for row in found], columns=names)
 
     return rows.groupBy(*keys).applyInPandasWithState(step, _struct(out), _struct(_STATE), "append", GroupStateTimeout.EventTimeTimeout)
 
