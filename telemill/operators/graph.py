@@ -19,9 +19,12 @@ def event_signals(events: DataFrame) -> DataFrame:
     return events.filter(F.col("source_ip").isNotNull() & any_signal).select("source_ip", *SIGNALS).distinct()
 
 
-def _edges(rows: DataFrame, src: str, dst: str, kind: str, weighted: bool) -> DataFrame:
-    pairs = rows.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.count("*").alias("n"))
-    return pairs.select("src", "dst", F.lit(kind).alias("edge_type"), (F.col("n") if weighted else F.lit(1)).cast("double").alias("weight"))
+def _signal_edges(signals: DataFrame) -> DataFrame:
+    """Edges of distinct signals: the three kinds leave a row together, so events are read once for all of them."""
+    kinds = (("source_ip", "download_url", "downloads_from"), ("download_url", "file_hash", "hosts_malware"), ("source_ip", "hassh", "uses_fingerprint"))
+    each = F.explode(F.array(*[F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("edge_type")) for src, dst, kind in kinds]))
+    pairs = signals.select(each.alias("e")).select("e.*").filter("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst", "edge_type").agg(F.count("*").alias("n"))
+    return pairs.select("src", "dst", "edge_type", F.when(F.col("edge_type") == "hosts_malware", 1).otherwise(F.col("n")).cast("double").alias("weight"))
 
 
 def asn_edges(members: DataFrame, known: DataFrame | None = None, first: int = 5) -> DataFrame:
@@ -39,9 +42,7 @@ def graph_edges(events: DataFrame, members: DataFrame | None = None, hubs: bool
 
     Credentials are hubs (uses_credential); without ``hubs``, only those of more than ``most`` addresses are, and others give an edge same_campaign for each ordered pair.
     """
-    s = event_signals(events)
-    out = _edges(s, "source_ip", "download_url", "downloads_from", True)
-    out = out.unionByName(_edges(s, "download_url", "file_hash", "hosts_malware", False)).unionByName(_edges(s, "source_ip", "hassh", "uses_fingerprint", True))
+    out = _signal_edges(event_signals(events))
     if hubs:
         out = out.unionByName(credential_hubs(events).select("src", "dst", F.lit("uses_credential").alias("edge_type"), F.lit(1.0).alias("weight")))
     else:
@@ -88,34 +89,45 @@ def components(edges: DataFrame) -> DataFrame:
     return ids.join(groups, "id").select("node", "component")
 
 
+#: Labels of so many nodes are broadcast (three longs each); beyond that they are joined by a shuffle.
+FEW_NODES = 1_000_000
+
+
+def _if_few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= FEW_NODES else rows
+
+
 def _moves(pairs: DataFrame, gamma: float, rounds: int) -> DataFrame:
     """(id, label) of an undirected graph (a, b, w) after rounds in which half of the nodes, by a hash of node and round, move to the best label near them.
 
     A label's score is the weight of a node's edges to it, less gamma times what random edges of the same degrees would
-    have; ties go to the smallest label, and a node only moves for a higher score. Every round is written to the
-    shared folder; it ends when two rounds in a row move nothing.
+    have; ties go to the smallest label, and a node only moves for a higher score. A round reads the edges of the nodes
+    that may move, and is written to the shared folder; it ends when two rounds in a row move nothing. Edges lie in
+    order of their nodes, cut anywhere, so a task sums up most of a node's votes before they are shuffled.
     """
-    both = store(pairs.filter("a <> b").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "move-edges")
+    one_way = pairs.filter("a <> b")
+    both = one_way.select(F.col("a").alias("id"), "b", "w").unionByName(one_way.select(F.col("b").alias("id"), F.col("a").alias("b"), "w"))
+    both = store(both.repartitionByRange("id", "b").sortWithinPartitions("id", "b"), "move-edges")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "w")  # a loop counts twice
-    degree = store(ends.groupBy("id").agg(F.sum("w").alias("k")), "degrees")
-    total = degree.agg(F.sum("k")).first()[0] or 1.0
-    label = store(degree.select("id", F.col("id").alias("label"), F.lit(False).alias("moved")), "labels").select("id", "label")
-    still = 0
+    label = store(ends.groupBy("id").agg(F.sum("w").alias("k")).select("id", F.col("id").alias("label"), "k", F.lit(False).alias("moved")), "labels")
+    total, nodes = label.agg(F.sum("k"), F.count("*")).first()
+    total, still = total or 1.0, 0
     for n in range(rounds):
-        sums = label.join(degree, "id").groupBy("label").agg(F.sum("k").alias("sum"))
-        votes = both.join(label.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", "w")
-        votes = votes.unionByName(label.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        votes = votes.join(label.withColumnRenamed("label", "own"), "id").join(degree, "id").join(sums, "label")
+        turn = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
+        movable, sums = label.filter(turn), label.groupBy("label").agg(F.sum("k").alias("sum"))
+        votes = both.filter(turn).join(_if_few(label.select(F.col("id").alias("b"), "label"), nodes), "b").select("id", "label", "w")
+        votes = votes.unionByName(movable.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
+        votes = votes.join(_if_few(movable.select("id", F.col("label").alias("own"), "k"), nodes), "id").join(sums, "label")
         here = F.col("label") == F.col("own")
         score = F.round(F.col("w") - gamma * F.col("k") * (F.col("sum") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
-        best = votes.groupBy("id", "own").agg(F.min_by("label", F.struct(-score, "label")).alias("best"), F.max(score).alias("high"), F.max(F.when(here, score)).alias("stay"))
-        turn = (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0) & (F.col("high") > F.col("stay"))
-        new = store(best.select("id", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("label"), turn.alias("moved")), "labels")
-        still = 0 if new.filter("moved").limit(1).count() else still + 1
-        label = new.select("id", "label")
+        best = votes.groupBy("id", "own", "k").agg(F.min_by("label", F.struct(-score, "label")).alias("best"), F.max(score).alias("high"), F.max(F.when(here, score)).alias("stay"))
+        better = F.col("high") > F.col("stay")
+        new = best.select("id", F.when(better, F.col("best")).otherwise(F.col("own")).alias("label"), "k", better.alias("moved"))
+        label = store(new.unionByName(label.filter(~turn).withColumn("moved", F.lit(False))), "labels")
+        still = 0 if label.filter("moved").limit(1).count() else still + 1
         if still == 2:
             break
-    return label
+    return label.select("id", "label")
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
@@ -131,28 +143,37 @@ def _named(edges: DataFrame, label: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 12) -> DataFrame:
     """(node, label): nodes take the label of largest total weight around them."""
+    edges = store(edges.select("src", "dst", "weight"), "edges")
     return _named(edges, _moves(_pairs(edges), 0.0, rounds))
 
 
-def modularity_moves(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
-    """(node, label) by the Louvain method: moves that gain modularity, then the same on the graph of the groups."""
-    pairs = _pairs(edges)
+def _louvain(pairs: DataFrame, rounds: int, levels: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, label) by the Louvain method, and the graph of groups of the last level with its labels.
+
+    Labels only move along edges, so nodes of one label are of one component, at each level.
+    """
     label = _moves(pairs, 1.0, rounds)
     group = label
     for _ in range(levels - 1):
-        of = [group.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")) for c in "ab"]
+        nodes = group.count()
+        of = [_if_few(group.select(F.col("id").alias(c), F.col("label").alias(f"l{c}")), nodes) for c in "ab"]
         merged = pairs.join(of[0], "a").join(of[1], "b").groupBy(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.sum("w").alias("w"))
         pairs = store(merged, "pairs")
         group = _moves(pairs, 1.0, rounds)  # ids are the labels below
         if group.filter("id <> label").isEmpty():
             break
         label = store(label.join(group.select(F.col("id").alias("label"), F.col("label").alias("up")), "label").select("id", F.col("up").alias("label")), "labels")
-    return _named(edges, label)
+    return label, pairs, group
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row with the weighted modularity of labels (node, label) over the undirected edges."""
-    e = edges.filter("src <> dst").join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
+def modularity_moves(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """(node, label) by the Louvain method: moves that gain modularity, then the same on the graph of the groups."""
+    edges = store(edges.select("src", "dst", "weight"), "edges")
+    return _named(edges, _louvain(_pairs(edges), rounds, levels)[0])
+
+
+def _modularity(e: DataFrame) -> DataFrame:
+    """One row with the weighted modularity of edges (ls, ld, weight) between labels."""
     inside = e.filter("ls = ld").groupBy(F.col("ls").alias("label")).agg(F.sum("weight").alias("inside"))
     ends = e.select(F.explode(F.array("ls", "ld")).alias("label"), "weight").groupBy("label").agg(F.sum("weight").alias("degree"))
     total = ends.agg(F.sum("degree").alias("m2"))
@@ -160,11 +181,31 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.agg(F.coalesce(F.sum(F.coalesce("inside", F.lit(0.0)) * 2 / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), 2)), F.lit(0.0)).alias("modularity"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, label): modularity moves, or connected components where their modularity is higher."""
-    spread = store(modularity_moves(edges, rounds), "labels")
-    joined = store(components(edges).withColumnRenamed("component", "label"), "labels")
-    return spread if modularity(edges, spread).first()[0] >= modularity(edges, joined).first()[0] else joined
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row with the weighted modularity of labels (node, label) over the undirected edges."""
+    e = edges.filter("src <> dst").join(labels.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst")
+    return _modularity(e)
+
+
+def communities(edges: DataFrame, rounds: int = 12, levels: int = 3) -> DataFrame:
+    """(node, label): modularity moves, or connected components where their modularity is higher.
+
+    Edges are worked out once. Components and both modularities come from the graph of groups: a group is of one
+    component, and an edge within a group is a loop there, with its weight.
+    """
+    edges = store(edges.select("src", "dst", "weight"), "edges")
+    label, top, group = _louvain(_pairs(edges), rounds, levels)
+    whole = group.select("id").join(connected_components(top), "id", "left").select("id", F.coalesce("component", "id").alias("label"))
+
+    def quality(of: DataFrame) -> float:
+        la, lb = (of.select(F.col("id").alias(c), F.col("label").alias(name)) for c, name in (("a", "ls"), ("b", "ld")))
+        return round(_modularity(top.join(la, "a").join(lb, "b").select("ls", "ld", F.col("w").alias("weight"))).first()[0], 12)
+
+    if quality(group) < quality(whole):
+        joined = label.join(whole.select(F.col("id").alias("label"), F.col("label").alias("component")), "label").select("id", "component")
+        smallest = joined.groupBy("component").agg(F.min("id").alias("label"))
+        label = joined.join(smallest, "component").select("id", "label")
+    return _named(edges, label)
 
 
 def _first_of(rows: DataFrame, value: str, n: int, name: str) -> DataFrame:

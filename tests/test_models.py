@@ -112,3 +112,104 @@ def test_risk_model_is_the_penalised_maximum_likelihood(spark):
     score, held = z[~train] @ w[:-1], y[~train]
     pairs = np.sign(score[held == 1][:, None] - score[held == 0][None]) / 2 + 0.5
     assert abs(auc - pairs.mean()) < 2e-3
+
+
+def plain_moves(w, turn, rounds=12):
+    """Labels of the nodes of w, (a, b) to weight, moved as graph._moves says with gamma 1."""
+    near, degree = defaultdict(dict), defaultdict(float)
+    for (a, b), x in w.items():
+        degree[a] += x
+        degree[b] += x
+        if a != b:
+            near[a][b] = near[b][a] = x
+    total, label, still = sum(degree.values()), {i: i for i in degree}, 0
+    for n in range(rounds):
+        sums, new = defaultdict(float), dict(label)
+        for i, k in degree.items():
+            sums[label[i]] += k
+        for i, k in degree.items():
+            votes = defaultdict(float, {label[i]: 0.0})
+            for j, x in near[i].items():
+                votes[label[j]] += x
+            score = {c: round(v - k * (sums[c] - (k if c == label[i] else 0.0)) / total, 9) for c, v in votes.items()}
+            best = min(score, key=lambda c: (-score[c], c))
+            if turn[i][n] and score[best] > score[label[i]]:
+                new[i] = best
+        still, label = (0 if new != label else still + 1), new
+        if still == 2:
+            break
+    return label
+
+
+def plain_communities(w, turn):
+    """The moves on three levels, or components if their modularity is higher."""
+    label = plain_moves(w, turn)
+    group, level = label, w
+    for _ in range(2):
+        merged = defaultdict(float)
+        for (a, b), x in level.items():
+            merged[min(group[a], group[b]), max(group[a], group[b])] += x
+        level, group = merged, plain_moves(merged, turn)
+        label = {i: group[c] for i, c in label.items()}
+        if all(c == g for c, g in group.items()):
+            break
+    whole = {i: i for i in label}
+    for _ in label:
+        for a, b in w:
+            whole[a] = whole[b] = min(whole[a], whole[b])
+    return label if round(modularity(w, label), 12) >= round(modularity(w, whole), 12) else whole
+
+
+def planted(seed, groups=3, size=9):
+    """Groups of which some are connected to others by few edges, some by many, and a pair of nodes on their own."""
+    rng, edges = random.Random(seed), [("x", "y", "e", 1.0), ("z", "z", "e", 2.0)]
+    for g in range(groups):
+        nodes = [f"{g}-{i}" for i in range(size)]
+        edges += [(a, b, "e", float(rng.randrange(1, 4))) for a, b in itertools.combinations(nodes, 2) if rng.random() < 0.4]
+    return edges + [(f"0-{rng.randrange(size)}", f"1-{rng.randrange(size)}", "e", 1.0) for _ in range(rng.choice((0, 3, 25)))]
+
+
+@pytest.mark.parametrize(("few", "seed"), [(0, 1), (1_000_000, 2)])
+def test_communities_are_the_rule_step_by_step(spark, monkeypatch, few, seed):
+    """Labels that are joined by a shuffle or broadcast, groups that are moved or left as components."""
+    monkeypatch.setattr(graph, "FEW_NODES", few)
+    edges = planted(seed)
+    w = undirected(edges)
+    nodes = spark.createDataFrame([(n,) for n in sorted({x for pair in w for x in pair})], "node string").withColumn("id", graph.node_id("node"))
+    rows = nodes.select("node", "id", *[(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2)) == 0).alias(f"t{k}") for k in range(12)]).collect()
+    number, turn = {r.node: r.id for r in rows}, {r.id: [r[f"t{k}"] for k in range(12)] for r in rows}
+    by_number = defaultdict(float)
+    for (a, b), x in w.items():
+        by_number[min(number[a], number[b]), max(number[a], number[b])] += x
+    want = plain_communities(by_number, turn)
+    assert {r.node: r.label for r in graph.communities(spark.createDataFrame(edges, EDGES)).collect()} == {n: want[i] for n, i in number.items()}
+
+
+def test_components_are_the_communities_where_they_are_better(spark):
+    """Without a round of moves each node is on its own, so the components win: each has the smallest id in it."""
+    edges = planted(3)
+    df = spark.createDataFrame(edges, EDGES)
+    assert {(r.node, r.label) for r in graph.communities(df, rounds=0).collect()} == {(r.node, r.component) for r in graph.components(df).collect()}
+
+
+@pytest.mark.parametrize("of", ["communities", "label_propagation"])
+def test_edges_are_worked_out_once(spark, of):
+    """They are counted as they pass."""
+    passed = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        passed.add(1)
+        return x
+
+    edges = planted(2)
+    df = spark.createDataFrame(edges, EDGES).withColumn("weight", F.udf(seen, "double")("weight")).withColumn("src", F.when(F.col("weight") > 0, F.col("src")))
+    getattr(graph, of)(df).collect()
+    assert passed.value == len(edges)
+
+
+def test_events_are_read_once_for_all_signals(spark):
+    """One scan for downloads, files and fingerprints, and one for credentials."""
+    from telemill.plans.adapters import Tables
+
+    plan = graph.graph_edges(Tables(spark, SF).attacks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
