@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from telemill.operators.ranges import numbered_runs
 from telemill.operators.reporting import PROXY_PORTS
+from telemill.plans.storage import scratch_path
 
 # Command families by pattern, in order of precedence.
 COMMAND_FAMILIES = {
@@ -97,7 +98,7 @@ def ip_features(events: DataFrame, devices: DataFrame) -> DataFrame:
 
 def risk_model(features: DataFrame, label: str, columns: Sequence[str], seed: int = 7) -> tuple:
     """(fitted pipeline, AUC on held-out rows): standard scaling and logistic regression, fitted on the training rows only."""
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -105,7 +106,9 @@ def risk_model(features: DataFrame, label: str, columns: Sequence[str], seed: in
     rows = features.withColumn("_fold", F.pmod(F.xxhash64("ip", F.lit(seed)), F.lit(10))).withColumn("_label", F.col(label).cast("double"))
     train, test = rows.filter("_fold < 7"), rows.filter("_fold >= 7")
     steps = [VectorAssembler(inputCols=list(columns), outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), LogisticRegression(featuresCol="_scaled", labelCol="_label", regParam=0.01)]
-    model = Pipeline(stages=steps).fit(train)
+    path = scratch_path(features.sparkSession, "model")
+    Pipeline(stages=steps).fit(train).save(path)
+    model = PipelineModel.load(path)  # without the training summary, which holds the session: tasks cannot be sent that once it has observed anything
     return model, BinaryClassificationEvaluator(labelCol="_label").evaluate(model.transform(test))
 
 

@@ -114,6 +114,17 @@ def test_risk_model_is_the_penalised_maximum_likelihood(spark):
     assert abs(auc - pairs.mean()) < 2e-3
 
 
+def test_risk_model_after_an_observation(spark):
+    """A session that has observed counts, as the run log does, can fit, evaluate and apply a model."""
+    from pyspark.sql import Observation
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("ip"), (F.col("id") % 7).alias("a"), (F.xxhash64("id") % 5 + F.col("id") % 7 > 4).cast("int").alias("y"))
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    model, auc = scoring.risk_model(rows, "y", ["a"])
+    assert seen.get == {"n": 500} and 0.5 < auc <= 1 and model.transform(rows).filter("prediction IN (0, 1)").count() == 500
+
+
 def plain_moves(w, turn, rounds=12):
     """Labels of the nodes of w, (a, b) to weight, moved as graph._moves says with gamma 1."""
     near, degree = defaultdict(dict), defaultdict(float)
