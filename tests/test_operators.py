@@ -165,6 +165,26 @@ def test_pairs_of_a_credential_of_many_addresses(spark):
         assert {(r.src, r.dst): r.n for r in found} == {(a, b): len(held[a] & held[b]) for a in held for b in held if a != b}
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_pairs_of_several_words_and_of_other_credentials(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linkage, "BROADCAST_ADDRESSES", broadcast)
+    rows = [(f"ip{k}", f"u{c}", "p") for k in range(40) for c in range(200) if (k * 7 + c * 11) % 13 < 2 or c == k] + [("alone", "x", "p")]
+    events = spark.createDataFrame(rows, "source_ip string, username string, password string")
+    held = {f"ip{k}": {u for ip, u, _ in rows if ip == f"ip{k}"} for k in range(40)}
+    expected = {(a, b): len(held[a] & held[b]) for a in held for b in held if a != b and held[a] & held[b]}
+    for most, words in ((5, 16), (5, 1), (0, 2), (100, 16)):  # all in words, some, some, none
+        found = linkage.shared_credential_pairs(events, most, words).collect()
+        assert len(found) == len(expected) and {(r.src, r.dst): r.n for r in found} == expected
+
+
+def test_pairs_are_not_summed(spark):
+    events = spark.createDataFrame([(f"ip{k}", f"u{c}", "p") for k in range(30) for c in range(70)], "source_ip string, username string, password string")
+    found = linkage.shared_credential_pairs(events, 10)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" not in [plan.apply(k).nodeName() for k in range(60) if plan.apply(k) is not None]  # before: every pair was shuffled and summed
+    assert {r.n for r in found.collect()} == {70} and found.count() == 30 * 29
+
+
 @pytest.mark.parametrize("kind", ["host", "enriched"])
 def test_hosts_are_not_carried_whole_with_each_service(spark, kind):
     service = lambda port, server: f'{{"port": {port}, "http": {{"server": "{server}", "response": {{"headers": {{"Server": "{server}"}}}}}}}}'
