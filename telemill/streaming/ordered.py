@@ -1,12 +1,13 @@
 """Rules over the events of a key in order of event time, as streams with state and event-time timers.
 
 Events wait in the state of their key until the watermark is past them, so they meet the rule in order however they
-arrived, and the result is that of a batch over the sorted events. A key's state is what its rule keeps (a few numbers) and the
+arrived, and the result is that of a batch over the sorted events. What is held of a key is what its rule keeps (a few numbers) and the
 events of one delay. It ends by a timer when the rule says that nothing can follow.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
@@ -18,8 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-_STATE = "kept array<long>, waiting array<array<long>>"
-
 
 class Rule(NamedTuple):
     """What to do with the events of a key, each a list of longs: microseconds, then values.
@@ -51,35 +50,45 @@ def through(rule: Rule, kept: list[int] | None, waiting: list[list[int]], mark:
     return kept, waiting[k:], out
 
 
-def in_order(events: DataFrame, keys: Sequence[str], values: Sequence[str], rule: Rule, result: Sequence[str], delay: str) -> DataFrame:
+def in_order(events: DataFrame, keys: Sequence[str], values: Sequence[str], rule: Rule, result: Sequence[str], delay: str, buckets: int = 1024) -> DataFrame:
     """Rows (keys, result) that the rule gives for the events of each key, when the watermark (``delay`` behind event_time) is past them.
 
     keys are strings or numbers; values are cast to longs (0 for null), and break ties of event_time in their order. Columns of
     result are longs. Events that come later than the delay are dropped, as by every operator with a watermark.
+
+    Keys are dealt to buckets by their hash and those of a bucket share a call and a row of state, as a call costs far more than the events of most keys.
+    A checkpoint belongs to one number of buckets. A task holds the waiting events of one bucket at a time, so more of them need less memory.
     """
-    rows = events.withWatermark("event_time", delay).select("event_time", *keys, F.array(F.unix_micros("event_time"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)) for v in values]).alias("_event"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    names = [*keys, *result]
-    out = ", ".join([*[f"{k} {kinds[k]}" for k in keys], *[f"{r} long" for r in result]])
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting = state.get if state.exists else (None, [])
-        kept, waiting = None if kept is None else list(kept), [list(w) for w in waiting]
+    key = F.struct(*keys)
+    kind = events.select(key.alias("k")).schema["k"].dataType
+    columns = [f"_{k}" for k in range(len(values) + 1)]
+    longs = [F.unix_micros("event_time"), *[F.coalesce(F.col(v).cast("long"), F.lit(0)) for v in values]]
+    rows = events.withWatermark("event_time", delay).select("event_time", F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("_bucket"), F.to_json(key).alias("_key"), *[v.alias(c) for c, v in zip(columns, longs)])
+
+    def step(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {}
         if not state.hasTimedOut:
             for part in parts:
-                waiting += [list(map(int, e)) for e in part["_event"]]
-        mark = state.getCurrentWatermarkMs()
-        kept, waiting, found = through(rule, kept, waiting, mark * 1000)
-        due = [*([rule.expires(kept)] if kept is not None else []), *(w[0] for w in waiting[:1])]
-        if due:
-            state.update((kept, waiting))
+                for k, event in zip(part["_key"].tolist(), part[columns].to_numpy("int64").tolist()):
+                    held.setdefault(k, (None, []))[1].append(event)
+        mark, left, found, due = state.getCurrentWatermarkMs(), {}, [], []
+        for k, (kept, waiting) in held.items():
+            kept, waiting, out = through(rule, kept, waiting, mark * 1000)
+            found += [(k, *row) for row in out]
+            if kept is not None or waiting:
+                left[k] = kept, waiting
+                due += [*([rule.expires(kept)] if kept is not None else []), *(w[0] for w in waiting[:1])]
+        if left:
+            state.update((json.dumps(left, separators=(",", ":")),))
             state.setTimeoutTimestamp(max(min(due) // 1000, mark + 1))
         elif state.exists:
             state.remove()
-        if found:  # most calls give none, and a frame costs more than all else here
-            yield pd.DataFrame([(*key, *row) for row in found], columns=names)
+        if found:
+            yield pd.DataFrame(found, columns=["_key", *result])
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, _struct(out), _struct(_STATE), "append", GroupStateTimeout.EventTimeTimeout)
+    out = ", ".join(["_key string", *[f"{r} long" for r in result]])
+    found = rows.groupBy("_bucket").applyInPandasWithState(step, _struct(out), _struct("held string"), "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("_key", kind).alias("_k"), *result).select("_k.*", *result)
 
 
 def _struct(text: str) -> StructType:

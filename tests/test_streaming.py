@@ -172,3 +172,30 @@ def test_late_rows_go_aside_and_days_are_rewritten(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, daily_activity(df).collect()))
     jobs.backfill_late_days(spark, f"{path}/out", target, daily_activity)  # again: the same
     assert spark.read.parquet(target).count() == len(got)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 1024])
+def test_keys_share_calls_and_states(spark, tmp_path, buckets):
+    from telemill.streaming.ordered import burst_rule, in_order
+
+    start = datetime.datetime(2026, 4, 20)
+    rows = [(k, start + datetime.timedelta(seconds=70 * (k // 200) + k % 2), [None, 'a"b', "", "é"][k % 4], [None, 2**60 + 1, -1][k % 3], [0.1, None][k // 4 % 2]) for k in range(600)]
+    schema = "record_id long, event_time timestamp, ip string, port long, x double"
+    for part in (rows[1::2], rows[::2]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    beat = spark.createDataFrame([(start + datetime.timedelta(days=400),)], "event_time timestamp")
+    beat.limit(0).write.parquet(str(tmp_path / "beats"))
+    from pyspark.sql.types import _parse_datatype_string
+
+    events = jobs.with_heartbeats(jobs.read_table_stream(spark, str(tmp_path / "in"), _parse_datatype_string(schema), 1), jobs.read_table_stream(spark, str(tmp_path / "beats"), beat.schema))
+    found = in_order(events, ["ip", "port", "x"], ["record_id"], burst_rule(60_000_000), ["_time", "record_id"], "1 hour", buckets)
+    assert found.schema["port"].dataType.simpleString() == "bigint" and found.schema["x"].dataType.simpleString() == "double"
+    query = jobs.to_batches(found, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= min(buckets, 24)  # before: a row and a call for each of 24 keys
+    got = result(spark, found, str(tmp_path))
+    first = {}
+    for r in rows:
+        at = (*r[2:], r[0] // 200)
+        first[at] = min(first.get(at, (r[1], r[0])), (r[1], r[0]))
+    assert sorted((str(k[:3]), k[3], n) for k, (_, n) in first.items()) == sorted((str((r.ip, r.port, r.x)), r.record_id // 200, r.record_id) for r in got)
