@@ -112,7 +112,7 @@ def host_devices(hosts: DataFrame, week, snapshot, query_id: str, category: str)
     text. Banners are cut to 4096 characters; hosts without an address are dropped.
     """
     ip = F.coalesce(blank_to_null(_get("$.ip_str")), blank_to_null(_get("$.ip")))
-    rows = hosts.withColumn("ip", canonical_ip(ip)).filter("ip IS NOT NULL")
+    rows = _with_address(hosts, canonical_ip(ip))
     several = _get("$.data", "array<variant>")
     none = F.array().cast("array<string>")
     of_host = {
@@ -143,7 +143,7 @@ def host_devices(hosts: DataFrame, week, snapshot, query_id: str, category: str)
 def enriched_devices(hosts: DataFrame, week, snapshot) -> DataFrame:
     """Enrichment hosts (VARIANT doc) as a row per service, the last of each port; one row without a port where there is none."""
     r = lambda path, kind="string": _get(f"$.result.resource{path}", kind)
-    rows = hosts.withColumn("ip", canonical_ip(r(".ip"))).filter("ip IS NOT NULL")
+    rows = _with_address(hosts, canonical_ip(r(".ip")))
     none = F.array().cast("array<string>")
     of_host = {
         "country_code": r(".location.country_code"), "asn": r(".autonomous_system.asn", "long"), "org": r(".autonomous_system.name"), "isp": r(".autonomous_system.description"),
@@ -167,6 +167,14 @@ def enriched_devices(hosts: DataFrame, week, snapshot) -> DataFrame:
     return first_of(rows, ["ip", "port"], "k", last=True, tie="_tie").select(*schemas.DEVICE.names)
 
 
+def _with_address(hosts: DataFrame, ip: Column) -> DataFrame:
+    """Hosts that have an address, and the address.
+
+    It goes through an array, because a filter on it would be pushed below the parsing of ``doc``: each mention of doc in it would then parse the text again.
+    """
+    return hosts.select("*", F.explode(F.array(ip)).alias("ip")).filter("ip IS NOT NULL")
+
+
 def _text_hash() -> Column:
     """Hash of a whole host, taken once for each, which tells rows of equal order apart without their texts."""
     return F.xxhash64(F.to_json("doc")).alias("_tie")

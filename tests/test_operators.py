@@ -200,6 +200,24 @@ def test_hosts_are_not_carried_whole_with_each_service(spark, kind):
     assert not any("raw_data" in c for c in columns)  # before: with each service, so a host of n services took n * n
 
 
+@pytest.mark.parametrize("kind", ["host", "enriched"])
+def test_hosts_are_parsed_once(spark, kind):
+    texts = {"host": '{"ip_str": "192.0.2.%d", "port": 23}', "enriched": '{"result": {"resource": {"ip": "192.0.2.%d", "services": [{"port": 23}]}}}'}[kind]
+    docs = [(texts % k,) for k in range(3)] + [(texts.replace("192.0.2.%d", ip),) for ip in ("", " ", "/24")] + [("{}",), ("not a text of JSON",), (None,)]
+    hosts = spark.createDataFrame(docs, "t string").repartition(2).select(F.try_parse_json("t").alias("doc"))
+    found = normalize.host_devices(hosts, "2024-01-01", "2024-01-03", "q", "iot") if kind == "host" else normalize.enriched_devices(hosts, "2024-01-01", "2024-01-03")
+    assert sorted((r.ip, r.port) for r in found.collect()) == [(f"192.0.2.{k}", 23) for k in range(3)]
+    assert str(found._jdf.queryExecution().optimizedPlan()).count("parseJson") == 1  # before: again for each mention of the host in the filter by address
+
+
+def test_details_need_no_types_and_no_text_twice(spark):
+    from conftest import SF
+    from telemill.plans import catalog
+
+    plan = str(catalog.QUERIES["x19_host_details"](spark, SF)._jdf.queryExecution().optimizedPlan())
+    assert "hikvision" not in plan and plan.count("regexp_replace(regexp_replace(") == 1  # before: types of all devices for their ties, and documents in a filter
+
+
 def test_type_is_worked_out_once_and_blocks_are_distinct(spark):
     from conftest import SF
     from telemill.plans import catalog
